@@ -12,6 +12,9 @@ MISSING_TEXT = ("", "unavailable", "n/a", "none")
 MISSING_PUBMED = ("", "0", "unavailable")
 VALUE_SEPARATOR = ";"
 
+# The Unicode space separators (general category Zs).
+SPACES = "\u0020\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
 # Patterns of identifiers and coded subjects.
 DOI_URL_PREFIX = r"^https?://(dx\.)?doi\.org/"
 LAST_PATH_SEGMENT = r"([^/]+)$"
@@ -25,7 +28,7 @@ def _col(c: Column | str) -> Column:
 
 def trim_spaces(c: Column | str) -> Column:
     """Trim every Unicode space separator, not only U+0020 as SQL ``trim`` does in Spark."""
-    return F.regexp_replace(_col(c), r"^\p{Zs}+|\p{Zs}+$", "")
+    return F.btrim(_col(c), F.lit(SPACES))
 
 
 def clean_text(c: Column | str) -> Column:

@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from auditloom.functions import count_where, round_to, years_from_days
 
 
+def join_median(totals: DataFrame, rows: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Add the exact median of ``value`` per key to a frame of one row per key.
+
+    Kept apart from distinct counts on purpose: those group by each counted value first, and a
+    median inside would build one value map per such group. Alone it needs one map per key, with
+    one entry per distinct value. Both sides are partitioned by the key, so the join moves nothing.
+    """
+    medians = rows.groupBy(*keys).agg(round_to(F.median(value), 1).alias(name))
+    return totals.join(medians, list(keys), "left")
+
+
 def mode_per_key(df: DataFrame, key: str, value: str) -> DataFrame:
     """Most frequent value of each key; the smaller value wins a tie."""
     counts = df.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"))

@@ -32,13 +32,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     current = materialize(
         ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "stars"
     )
-    before = _fingerprint(current)
-    while True:
+    while not _only_stars(current):
         current = materialize(_small_star(_large_star(current)), "stars")
-        after = _fingerprint(current)
-        if after == before:
-            break
-        before = after
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
@@ -49,7 +44,7 @@ def _large_star(stars: DataFrame) -> DataFrame:
     smallest = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
     return (
         both.filter(F.col("v") > F.col("u")).join(smallest, "u")
-        .select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        .select(F.col("v").alias("u"), F.col("low").alias("v"))
     )
 
 
@@ -63,11 +58,13 @@ def _small_star(stars: DataFrame) -> DataFrame:
     return moved.unionByName(smallest.select("u", F.col("low").alias("v"))).distinct()
 
 
-def _fingerprint(stars: DataFrame) -> tuple:
-    row = stars.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))
-    ).first()
-    return tuple(row)
+def _only_stars(stars: DataFrame) -> bool:
+    """True when every node points to one root and no root points anywhere."""
+    seen = stars.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(
+        stars.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in"))
+    )
+    node = seen.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return node.filter((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty()
 
 
 def component_sizes(membership: DataFrame) -> DataFrame:

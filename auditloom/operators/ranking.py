@@ -29,15 +29,12 @@ def running_before(
     """Add ``<name>_before`` (sum over earlier rows) and ``<name>_total`` for each amount.
 
     ``order`` must be total within a group, ``by`` must not be NULL. The result is exact for any
-    number of partitions.
+    number of partitions; without one, adaptive execution merges small neighbouring ranges.
     """
-    count = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = df.select("*", *[amount.cast("bigint").alias(name) for name, amount in amounts.items()])
-    placed = materialize(
-        named.repartitionByRange(count, *[F.col(b) for b in by], *order)
-        .withColumn(SLOT, F.spark_partition_id()),
-        "ordered",
-    )
+    keys = [*[F.col(b) for b in by], *order]
+    ranged = named.repartitionByRange(partitions, *keys) if partitions else named.repartitionByRange(*keys)
+    placed = materialize(ranged.withColumn(SLOT, F.spark_partition_id()), "ordered")
     slots = placed.groupBy(*by, SLOT).agg(*[F.sum(name).alias(name) for name in amounts])
     earlier = Window.partitionBy(*by).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)

@@ -20,7 +20,7 @@ from auditloom.functions import (
     year_of,
     years_from_days,
 )
-from auditloom.operators.aggregates import peak_per_group
+from auditloom.operators.aggregates import join_median, peak_per_group
 from auditloom.operators.generators import cross_offsets
 from auditloom.operators.pairs import shared_groups
 from auditloom.plans import vocabulary as v
@@ -143,10 +143,10 @@ def journal_profile(enriched: DataFrame) -> DataFrame:
         round_to(share_where(F.col("is_paper_mill")), 4).alias("paper_mill_share"),
         round_to(share_where(F.col("is_peer_review_fraud")), 4).alias("peer_review_fraud_share"),
         round_to(share_where(F.col("is_ai_generated")), 4).alias("ai_generated_share"),
-        round_to(F.median("retraction_latency_days"), 1).alias("median_latency_days"),
         round_to(F.avg("n_authors"), 2).alias("mean_authors"),
         round_to(share_where(F.col("involves_china")), 4).alias("china_share"),
     )
+    totals = join_median(totals, known, ["journal"], "retraction_latency_days", "median_latency_days")
     peak = peak_per_group(known, "journal", "retraction_year").select(
         "journal", F.col("peak_period").alias("peak_year"), F.col("peak_rows").alias("peak_year_retractions")
     )
@@ -165,7 +165,8 @@ def author_activity(authors: DataFrame, enriched: DataFrame) -> DataFrame:
         "first_country", "n_authors", "is_paper_mill", "is_peer_review_fraud", "is_ai_generated",
         "retraction_latency_days",
     )
-    return authors.join(facts, "record_id").groupBy("author_name").agg(
+    signed = authors.join(facts, "record_id")
+    totals = signed.groupBy("author_name").agg(
         F.count_distinct("record_id").alias("n_retractions"),
         F.count_distinct("journal").alias("n_journals"),
         F.count_distinct("subject_code").alias("n_subject_areas"),
@@ -180,8 +181,8 @@ def author_activity(authors: DataFrame, enriched: DataFrame) -> DataFrame:
         count_where(F.col("is_ai_generated")).alias("n_ai_generated"),
         count_where(F.col("author_position") == 1).alias("n_first_author"),
         count_where(F.col("author_position") == F.col("n_authors")).alias("n_last_author"),
-        round_to(F.median("retraction_latency_days"), 1).alias("median_latency_days"),
     )
+    return join_median(totals, signed, ["author_name"], "retraction_latency_days", "median_latency_days")
 
 
 _WORK_FLAGS = ("is_paper_mill", "is_peer_review_fraud", "is_ai_generated", "is_image_duplication", "is_rogue_editor")

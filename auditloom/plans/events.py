@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions import count_where, ratio, round_to, share_where
+from auditloom.functions import count_where, ratio, round_to
 from auditloom.operators.regression import ols_fit
 from auditloom.plans import vocabulary as v
 
@@ -23,18 +23,35 @@ def _gap_columns() -> list[Column]:
     ]
 
 
+def _yearly_means(panel: DataFrame, keys: list[str]) -> DataFrame:
+    """Panel reduced to its keys. The panel has one row per work and time, so works are its rows.
+
+    The count per value comes first: medians and means then work on a few rows per key.
+    """
+    by_value = panel.groupBy(*keys, "cited_by_count").agg(
+        F.count(F.lit(1)).alias("n"), count_where(F.col("has_observed_data")).alias("n_observed")
+    )
+    n = F.sum("n")
+    return by_value.groupBy(*keys).agg(
+        n.alias("n_works"),
+        n.alias("n_observations"),
+        (F.sum(F.col("cited_by_count") * F.col("n")) / n.cast("double")).alias("mean_citations"),
+        F.percentile("cited_by_count", F.lit(0.5), F.col("n")).alias("median_citations"),
+        (F.sum("n_observed") / n.cast("double")).alias("data_coverage"),
+    )
+
+
 def event_study(panel: DataFrame) -> DataFrame:
     """Mean per event time, the line through the (rounded) means before the event, and the gap.
 
     The panel is reduced to one row per event time before the fit, so the fit and the join of its
     one-row result work on a handful of rows.
     """
-    by_time = panel.groupBy("event_time").agg(
-        F.count_distinct("work_id").alias("n_works"),
-        F.count(F.lit(1)).alias("n_observations"),
-        round_to(F.avg("cited_by_count"), 4).alias("mean_citations"),
-        round_to(F.median("cited_by_count"), 3).alias("median_citations"),
-        round_to(share_where(F.col("has_observed_data")), 4).alias("data_coverage"),
+    by_time = _yearly_means(panel, ["event_time"]).select(
+        "event_time", "n_works", "n_observations",
+        round_to("mean_citations", 4).alias("mean_citations"),
+        round_to("median_citations", 3).alias("median_citations"),
+        round_to("data_coverage", 4).alias("data_coverage"),
     )
     line = ols_fit(by_time.filter(F.col("event_time") < 0), "event_time", "mean_citations")
     return by_time.crossJoin(F.broadcast(line)).select(
@@ -49,11 +66,7 @@ def event_study(panel: DataFrame) -> DataFrame:
 def event_study_by_group(panel: DataFrame, label: str = "is_paper_mill") -> DataFrame:
     """The same per label group, fitted on unrounded means; groups without a past drop out."""
     name = F.when(F.col(label), F.lit(v.EVENT_GROUPS[True])).otherwise(F.lit(v.EVENT_GROUPS[False]))
-    by_time = panel.groupBy(name.alias("group_name"), "event_time").agg(
-        F.count_distinct("work_id").alias("n_works"),
-        F.avg("cited_by_count").alias("mean_citations"),
-        F.median("cited_by_count").alias("median_citations"),
-    )
+    by_time = _yearly_means(panel.withColumn("group_name", name), ["group_name", "event_time"])
     lines = ols_fit(by_time.filter(F.col("event_time") < 0), "event_time", "mean_citations", ["group_name"])
     return by_time.join(lines, "group_name").select(
         "group_name", "event_time", "n_works",

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import count_where, ratio, round_to, share_where
+from auditloom.operators.aggregates import join_median
 from auditloom.operators.generators import unpivot
 from auditloom.operators.ranking import attach_ranks, percent_rank, rank_sum_auc, row_numbers, value_ranks
 from auditloom.plans import vocabulary as v
@@ -41,9 +42,8 @@ TREND_NAMES = {
 def retraction_trends(enriched: DataFrame) -> DataFrame:
     nature = F.col("retraction_nature")
     n = F.col("n_retractions")
-    yearly = enriched.filter(F.col("retraction_year").isNotNull()).groupBy(
-        F.col("retraction_year").alias("year")
-    ).agg(
+    dated = enriched.filter(F.col("retraction_year").isNotNull()).withColumnRenamed("retraction_year", "year")
+    totals = dated.groupBy("year").agg(
         F.count(F.lit(1)).alias("n_retractions"),
         count_where(nature == "Retraction").alias("n_true_retraction"),
         count_where(nature == "Expression of concern").alias("n_expression_of_concern"),
@@ -56,9 +56,9 @@ def retraction_trends(enriched: DataFrame) -> DataFrame:
         count_where(F.col("is_international")).alias("n_international"),
         F.count_distinct("journal").alias("n_journals"),
         round_to(F.avg("retraction_latency_days"), 1).alias("mean_latency_days"),
-        round_to(F.median("retraction_latency_days"), 1).alias("median_latency_days"),
         round_to(F.avg("n_authors"), 2).alias("mean_authors"),
-    ).select(
+    )
+    yearly = join_median(totals, dated, ["year"], "retraction_latency_days", "median_latency_days").select(
         "*",
         round_to(ratio("n_paper_mill", n), 4).alias("paper_mill_share"),
         round_to(ratio("n_china", n), 4).alias("china_share"),
@@ -212,31 +212,49 @@ def _global_facts(enriched: DataFrame) -> DataFrame:
 
 
 def country_leaderboard(countries: DataFrame, enriched: DataFrame) -> DataFrame:
-    """A record counts for each of its countries, once per country for distinct counts."""
+    """A record counts for each of its countries, once per country for the distinct counts.
+
+    Repeated countries of a record are folded into a row weight before anything else, so distinct
+    records become plain counts.
+    """
     facts = enriched.select(
         "record_id", "journal", "retraction_year", "retraction_latency_days", "is_international",
         "is_paper_mill", "is_peer_review_fraud", "is_ai_generated", "n_authors",
     )
-    recent = F.col("retraction_year") >= F.col("_recent_from")
-    overall = _global_facts(enriched)
-    joined = countries.join(facts, "record_id").crossJoin(F.broadcast(overall))
-    by_country = joined.groupBy("country").agg(
-        F.count_distinct("record_id").alias("n_retractions"),
-        F.count_distinct(F.when(~F.col("is_international"), F.col("record_id"))).alias("n_as_sole_country"),
-        count_where(F.col("is_paper_mill")).alias("n_paper_mill"),
-        count_where(F.col("is_peer_review_fraud")).alias("n_peer_review_fraud"),
-        count_where(F.col("is_ai_generated")).alias("n_ai_generated"),
-        round_to(F.median("retraction_latency_days"), 1).alias("median_latency_days"),
+    once = countries.groupBy("record_id", "country").agg(F.count(F.lit(1)).alias("times"))
+    joined = once.join(facts, "record_id").crossJoin(F.broadcast(_global_facts(enriched)))
+
+    def times_where(condition: Column) -> Column:
+        return F.sum(F.when(condition, F.col("times")).otherwise(F.lit(0)))
+
+    by_journal_year = joined.groupBy("country", "retraction_year", "journal").agg(
+        F.count(F.lit(1)).alias("n_retractions"),
+        count_where(~F.col("is_international")).alias("n_as_sole_country"),
+        times_where(F.col("is_paper_mill")).alias("n_paper_mill"),
+        times_where(F.col("is_peer_review_fraud")).alias("n_peer_review_fraud"),
+        times_where(F.col("is_ai_generated")).alias("n_ai_generated"),
+        F.sum("times").alias("_rows"),
+        F.sum(F.col("n_authors") * F.col("times")).alias("_signatures"),
+        count_where(F.col("retraction_year") >= F.col("_recent_from")).alias("n_recent_5y"),
+        F.first("_all").alias("_all"),
+    )
+    sums = ("n_retractions", "n_as_sole_country", "n_paper_mill", "n_peer_review_fraud", "n_ai_generated",
+            "_rows", "_signatures", "n_recent_5y")
+    totals = by_journal_year.groupBy("country").agg(
+        *[F.sum(c).alias(c) for c in sums],
         F.min("retraction_year").alias("first_retraction_year"),
         F.max("retraction_year").alias("last_retraction_year"),
         F.count_distinct("retraction_year").alias("active_years"),
         F.count_distinct("journal").alias("n_journals"),
-        round_to(F.avg("n_authors"), 2).alias("mean_authors"),
-        F.count_distinct(F.when(recent, F.col("record_id"))).alias("n_recent_5y"),
-        F.first("_all").alias("_all"),
+        F.max("_all").alias("_all"),
+    )
+    medians = joined.filter(F.col("retraction_latency_days").isNotNull()).groupBy(
+        "country", "retraction_latency_days"
+    ).agg(F.sum("times").alias("times")).groupBy("country").agg(
+        round_to(F.percentile("retraction_latency_days", F.lit(0.5), F.col("times")), 1).alias("median_latency_days")
     )
     n = F.col("n_retractions")
-    shares = by_country.select(
+    shares = totals.join(medians, "country", "left").select(
         "country", "n_retractions", "n_as_sole_country",
         (n - F.col("n_as_sole_country")).alias("n_cooperative"),
         round_to(ratio(n * 100, "_all"), 2).alias("share_of_global_pct"),
@@ -245,7 +263,7 @@ def country_leaderboard(countries: DataFrame, enriched: DataFrame) -> DataFrame:
         round_to(ratio("n_peer_review_fraud", n), 4).alias("peer_review_fraud_share"),
         "n_ai_generated", round_to(ratio("n_ai_generated", n), 4).alias("ai_generated_share"),
         "median_latency_days", "first_retraction_year", "last_retraction_year", "active_years",
-        "n_journals", "mean_authors", "n_recent_5y",
+        "n_journals", round_to(ratio("_signatures", "_rows"), 2).alias("mean_authors"), "n_recent_5y",
         round_to(ratio("n_recent_5y", n), 4).alias("recent_5y_share"),
     )
     return row_numbers(shares, [F.desc("n_retractions"), F.asc("country")], "rank_by_volume")
@@ -256,16 +274,17 @@ def reason_landscape(reasons: DataFrame, enriched: DataFrame) -> DataFrame:
     facts = enriched.select("record_id", "retraction_year", "retraction_latency_days", "involves_china")
     recent = F.col("retraction_year") >= F.col("_recent_from")
     overall = _global_facts(enriched)
-    by_reason = reasons.join(facts, "record_id").crossJoin(F.broadcast(overall)).groupBy("reason").agg(
+    joined = reasons.join(facts, "record_id").crossJoin(F.broadcast(overall))
+    totals = joined.groupBy("reason").agg(
         F.count(F.lit(1)).alias("n_occurrences"),
         F.count_distinct("record_id").alias("n_records"),
         F.min("retraction_year").alias("first_year"),
         F.max("retraction_year").alias("last_year"),
-        round_to(F.median("retraction_latency_days"), 1).alias("median_latency_days"),
         count_where(recent).alias("n_recent_5y"),
         count_where(F.col("involves_china")).alias("n_involving_china"),
         F.first("_all").alias("_all"),
     )
+    by_reason = join_median(totals, joined, ["reason"], "retraction_latency_days", "median_latency_days")
     shares = by_reason.select(
         "reason", "n_occurrences", "n_records",
         round_to(ratio(F.col("n_records") * 100, "_all"), 2).alias("pct_of_all_retractions"),

@@ -27,9 +27,10 @@ def has_record_id(raw: DataFrame) -> Column:
 
 def stage_records(raw: DataFrame, loaded_at: dt.datetime) -> DataFrame:
     """Record table. A Record ID that is no number becomes NULL and is left to the checks."""
-    retracted = parse_date("RetractionDate")
-    published = parse_date("OriginalPaperDate")
-    return raw.filter(has_record_id(raw)).select(
+    kept = raw.filter(has_record_id(raw)).withColumns(
+        {"_retracted": parse_date("RetractionDate"), "_published": parse_date("OriginalPaperDate")}
+    )
+    return kept.select(
         trim_spaces("Record ID").try_cast("bigint").alias("record_id"),
         clean_text("Title").alias("title"),
         clean_text("Journal").alias("journal"),
@@ -42,10 +43,10 @@ def stage_records(raw: DataFrame, loaded_at: dt.datetime) -> DataFrame:
         clean_text("Reason").alias("reason_raw"),
         clean_text("Notes").alias("notes"),
         clean_text("URLS").alias("urls"),
-        retracted.alias("retraction_date"),
-        published.alias("original_paper_date"),
-        year_of(retracted).alias("retraction_year"),
-        year_of(published).alias("original_paper_year"),
+        F.col("_retracted").alias("retraction_date"),
+        F.col("_published").alias("original_paper_date"),
+        year_of("_retracted").alias("retraction_year"),
+        year_of("_published").alias("original_paper_year"),
         normalize_doi("RetractionDOI").alias("retraction_doi"),
         normalize_doi("OriginalPaperDOI").alias("original_paper_doi"),
         normalize_pubmed("RetractionPubMedID").alias("retraction_pubmed_id"),

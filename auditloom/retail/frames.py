@@ -15,9 +15,11 @@ nothing is gathered to build them.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from auditloom.functions import year_of
 from auditloom.operators.generators import explode_positions
@@ -31,8 +33,15 @@ FOCUS = "NATION_3"
 LAST_FULL_YEAR = 2001
 
 
+@functools.lru_cache(maxsize=256)
+def _schema(spark: SparkSession, path: str) -> StructType:
+    return spark.read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Table scan; the schema of a file is looked up once per session, not once per mention."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
 AUTHORS_OF_ORDER = """

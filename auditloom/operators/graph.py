@@ -6,7 +6,7 @@ driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from auditloom.operators.persisting import materialize
@@ -83,15 +83,17 @@ def communities(
     b: str = "b",
     weight: str = "weight",
     min_component: int = 3,
-    max_rounds: int = 12,
-    max_levels: int = 10,
+    max_rounds: int = 2,
+    max_levels: int = 40,
+    settled_share: float = 0.01,
 ) -> DataFrame:
     """(node, component, community): communities of high modularity inside each component.
 
     Distributed local moving after Blondel et al. (2008). In a round, half of the nodes (by a
     hash of the id) weigh all neighbouring communities and take the best; the halves alternate so
-    that two nodes cannot swap for ever. When moves stop, communities become the nodes of the
-    next level. Weights are whole numbers and each gain is one product of them, so the result
+    that two nodes cannot swap for ever. When fewer than ``settled_share`` of the nodes still move
+    (or after ``max_rounds``), communities become the nodes of the next level, where leftovers
+    move on. Weights are whole numbers and each gain is one product of them, so the result
     does not depend on partitioning. A community is named by its smallest node.
     """
     weighted = edges.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.sum(weight).cast("bigint").alias("w"))
@@ -110,7 +112,7 @@ def communities(
     nodes = base.select("node", F.col("node").alias("comm"), "k", "two_m")
     member = base.select("node", F.col("node").alias("comm"))
     for level in range(max_levels):
-        settled = _local_moving(nodes, links, level, max_rounds)
+        settled = _local_moving(nodes, links, level, max_rounds, settled_share)
         n_before, n_after = settled.agg(F.count("node"), F.count_distinct("comm")).first()
         if n_before == n_after:
             break
@@ -132,41 +134,46 @@ def communities(
     return _name_communities(base, base_links, member)
 
 
-def _local_moving(nodes: DataFrame, links: DataFrame, level: int, max_rounds: int) -> DataFrame:
+def _local_moving(
+    nodes: DataFrame, links: DataFrame, level: int, max_rounds: int, settled_share: float
+) -> DataFrame:
     outside = links.filter(F.col("src") != F.col("dst"))
-    idle = 0
+    calm = 0
     for turn in range(max_rounds):
-        where = nodes.select(F.col("node").alias("dst"), F.col("comm").alias("to"))
-        towards = outside.join(where, "dst").select("src", "to", "w").unionByName(
-            nodes.select(F.col("node").alias("src"), F.col("comm").alias("to"), F.lit(0).cast("bigint").alias("w"))
+        totals = nodes.groupBy("comm").agg(F.sum("k").alias("tot"))
+        placed = nodes.join(totals, "comm")
+        of_dst = placed.select(F.col("node").alias("dst"), F.col("comm").alias("to"), F.col("tot").alias("tot_to"))
+        pull = (
+            outside.join(of_dst, "dst").groupBy("src", "to")
+            .agg(F.sum("w").alias("w"), F.first("tot_to").alias("tot_to"))
         )
-        pull = towards.groupBy("src", "to").agg(F.sum("w").alias("w"))
-        totals = nodes.groupBy(F.col("comm").alias("to")).agg(F.sum("k").alias("tot"))
         here = F.col("to") == F.col("comm")
-        others = F.col("tot") - F.when(here, F.col("k")).otherwise(F.lit(0))
-        gain = F.col("two_m").cast("double") * F.col("w") - F.col("k").cast("double") * others
+        two_m, k = F.col("two_m").cast("double"), F.col("k").cast("double")
+        gain = two_m * F.col("w") - k * F.col("tot_to")
         choice = (
-            pull.join(nodes, F.col("src") == F.col("node")).join(totals, "to")
-            .withColumn("gain", gain)
+            pull.join(placed, F.col("src") == F.col("node"))
             .groupBy("node")
             .agg(
-                F.first("comm").alias("comm"), F.first("k").alias("k"), F.first("two_m").alias("two_m"),
-                F.max(F.when(here, F.col("gain"))).alias("stay"),
-                F.min(F.struct((-F.col("gain")).alias("loss"), F.col("to"))).alias("best"),
+                *[F.first(c).alias(c) for c in ("comm", "k", "two_m", "tot")],
+                F.max(F.when(here, F.col("w"))).alias("w_own"),
+                F.min(F.when(~here, F.struct((-gain).alias("loss"), F.col("to")))).alias("best"),
             )
         )
+        stay = two_m * F.coalesce("w_own", F.lit(0)) - k * (F.col("tot") - F.col("k"))
         active = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(2)) == turn % 2
-        moves = active & (-F.col("best.loss") > F.col("stay"))
-        nodes = materialize(
-            choice.select(
-                "node", F.when(moves, F.col("best.to")).otherwise(F.col("comm")).alias("comm"),
-                "k", "two_m", moves.alias("moved"),
-            ),
-            "moving",
+        moves = F.coalesce(active & (-F.col("best.loss") > stay), F.lit(False))
+        moved = choice.select(
+            "node", F.when(moves, F.col("best.to")).otherwise(F.col("comm")).alias("comm"),
+            "k", "two_m", moves.alias("moved"),
         )
-        idle = idle + 1 if nodes.filter("moved").isEmpty() else 0
-        nodes = nodes.drop("moved")
-        if idle == 2:
+        tally = Observation()
+        counted = moved.observe(tally, F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("moved")).alias("moved"))
+        # A node without links to others (a whole component contracted to one node) stays as it is.
+        alone = nodes.join(outside.select("src"), F.col("node") == F.col("src"), "left_anti")
+        nodes = materialize(counted.drop("moved").unionByName(alone.select("node", "comm", "k", "two_m")), "moving")
+        seen = tally.get
+        calm = calm + 1 if seen["moved"] <= settled_share * seen["nodes"] else 0
+        if calm == 2:
             break
     return nodes
 

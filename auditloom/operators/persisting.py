@@ -28,13 +28,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{app}/{name}-{uuid.uuid4().hex}"
 
 
+def write_scratch(df: DataFrame, name: str) -> str:
+    """Write the frame to the shared folder and return where."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write the frame once to the shared folder and read it back.
 
     Compared with recomputing, every later use reads the same rows (needed where a partition
     number becomes data) and the planner knows the written size when it chooses a join.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = write_scratch(df, name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,9 @@ from pyspark.sql.types import StructType
 
 from auditloom.functions import year_of
 from auditloom.operators.generators import explode_positions
+from auditloom.operators.persisting import write_scratch
 from auditloom.plans import enriched as models
-from auditloom.plans import staging
+from auditloom.plans import events, marts, network, staging
 from auditloom.sources.works_json import work_schema
 
 LOADED_AT = dt.datetime(2026, 1, 1)
@@ -44,6 +46,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
+_WRITTEN: dict[tuple, tuple[str, StructType]] = {}
+
+
+def _version(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of the files of the retail tables."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+
+
+def stored(
+    spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]
+) -> DataFrame:
+    """A warehouse table: written by its first reader in a session, read by all others.
+
+    It is rebuilt when a file of the retail tables changes.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, _version(spark, sf_dir), name)
+    if key not in _WRITTEN:
+        df = build(spark, sf_dir)
+        _WRITTEN[key] = (write_scratch(df, name), df.schema)
+    path, schema = _WRITTEN[key]
+    return spark.read.schema(schema).parquet(path)
+
+
 AUTHORS_OF_ORDER = """
     array_join(transform(
         slice(array(1, 2, 3, 4), 1, cast(o_orderkey % 5 as int)),
@@ -127,13 +155,35 @@ def authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.enrich_records(
         records(spark, sf_dir), reasons(spark, sf_dir), countries(spark, sf_dir), authors(spark, sf_dir),
         institutions(spark, sf_dir), subjects(spark, sf_dir), FOCUS,
     )
 
 
+def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "records_enriched", build_enriched)
+
+
+def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "journal_profile", lambda s, d: models.journal_profile(enriched(s, d)))
+
+
+def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "journal_risk", lambda s, d: marts.journal_risk(profile(s, d)))
+
+
+def trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "retraction_trends", lambda s, d: marts.retraction_trends(enriched(s, d)))
+
+
+def country_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(
+        spark, sf_dir, "country_leaderboard", lambda s, d: marts.country_leaderboard(countries(s, d), enriched(s, d))
+    )
+
+
 def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same orders as untyped text in the layout of the record CSV, with its usual dirt."""
     def spelled(day: str) -> str:
@@ -240,14 +290,26 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def works_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_works_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.enrich_works(works(spark, sf_dir), enriched(spark, sf_dir), AS_OF.year)
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def works_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "works_enriched", build_works_enriched)
+
+
+def build_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.event_panel(works_enriched(spark, sf_dir), citations(spark, sf_dir), last_full_year=LAST_FULL_YEAR)
 
 
+def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "event_panel", build_panel)
+
+
+def study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "event_study", lambda s, d: events.event_study(panel(s, d)))
+
+
 def authorships(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authors of orders as authors of works; names are spelled in more than one way."""
     return authors(spark, sf_dir).select(
@@ -275,5 +337,29 @@ def works_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.coauthor_edges(authorships(spark, sf_dir), works_of_orders(spark, sf_dir))
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "coauthor_edges", build_edges)
+
+
+def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "author_cluster_membership", lambda s, d: network.component_membership(edges(s, d)))
+
+
+def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(
+        spark, sf_dir, "author_cluster_profile", lambda s, d: network.cluster_profile(edges(s, d), membership(s, d))
+    )
+
+
+def cluster_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "author_clusters", lambda s, d: network.cluster_scores(cluster_profile(s, d)))
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(
+        spark, sf_dir, "records", lambda s, d: staging.stage_records(raw_records(s, d), LOADED_AT)
+    )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom import functions as fn
 from auditloom.operators import aggregates, generators, graph, pairs, ranking, regression
-from auditloom.operators.persisting import materialize, scratch_path
+from auditloom.operators.persisting import scratch_path
 from auditloom.plans import enriched as models
 from auditloom.plans import events, marts, network, profiling, quality, serving, staging
 from auditloom.plans import vocabulary as v
@@ -175,7 +175,7 @@ def _exploded(column: str, value: str) -> str:
     for kind, column in (("reason", "reason_raw"), ("country", "country_raw"), ("subject", "subject_raw"),
                          ("institution", "institution_raw"))))
 def explode_values(spark, sf):
-    records = stg_records(spark, sf)
+    records = f.staged(spark, sf)
     children = {
         "reason": staging.record_reasons(records), "country": staging.record_countries(records),
         "subject": staging.record_subjects(records), "institution": staging.record_institutions(records),
@@ -193,7 +193,7 @@ def explode_values(spark, sf):
                  generate_subscripts(string_split(author_raw, ';'), 1) AS place
           FROM staged WHERE record_id IS NOT NULL AND author_raw IS NOT NULL)""")
 def explode_positions(spark, sf):
-    return staging.record_authors(stg_records(spark, sf))
+    return staging.record_authors(f.staged(spark, sf))
 
 
 _WORK_ID = "CASE WHEN p_partkey % 53 <> 0 THEN 'W' || p_partkey END"
@@ -267,7 +267,7 @@ def unpivot_features(spark, sf):
 
 @register("records_enriched", "SELECT * FROM enriched")
 def records_enriched(spark, sf):
-    return f.enriched(spark, sf)
+    return f.build_enriched(spark, sf)
 
 
 @register("reason_flags", "SELECT * FROM reason_flags")
@@ -282,7 +282,7 @@ def first_last_author(spark, sf):
 
 @register("cross_source_match", "SELECT * FROM works_enriched")
 def cross_source_match(spark, sf):
-    return f.works_enriched(spark, sf)
+    return f.build_works_enriched(spark, sf)
 
 
 @register("match_rate_by_year", f"""
@@ -385,8 +385,7 @@ def trend_by_day(spark, sf):
 @register("percent_rank_scores", "SELECT journal, pr_paper_mill, pr_burst, pr_volume, pr_peer_review, pr_ai, "
                                  "pr_intensity FROM ranked")
 def percent_rank_scores(spark, sf):
-    profile = materialize(models.journal_profile(f.enriched(spark, sf)), "profile")
-    eligible = profile.filter(F.col("n_retractions") >= v.MIN_GROUP_RECORDS)
+    eligible = f.profile(spark, sf).filter(F.col("n_retractions") >= v.MIN_GROUP_RECORDS)
     return marts.percent_ranks(eligible, "journal", marts.RISK_MEASURES)
 
 
@@ -420,33 +419,24 @@ def pct_rank_average(spark, sf):
 
 # --- scores -----------------------------------------------------------------------------------
 
-def _risk(spark: SparkSession, sf: str) -> DataFrame:
-    profile = materialize(models.journal_profile(f.enriched(spark, sf)), "profile")
-    return marts.journal_risk(profile)
-
-
-def _stored_risk(spark: SparkSession, sf: str) -> DataFrame:
-    return materialize(_risk(spark, sf), "risk")
-
-
 @register("risk_scores", "SELECT * FROM risk")
 def risk_scores(spark, sf):
-    return _risk(spark, sf)
+    return marts.journal_risk(f.profile(spark, sf))
 
 
 @register("auc_validation", "SELECT * FROM validation")
 def auc_validation(spark, sf):
-    return marts.risk_score_validation(_risk(spark, sf))
+    return marts.risk_score_validation(f.risk(spark, sf))
 
 
 @register("feature_auc", "SELECT * FROM features")
 def feature_auc(spark, sf):
-    return marts.feature_discriminative_power(_risk(spark, sf))
+    return marts.feature_discriminative_power(f.risk(spark, sf))
 
 
 @register("tier_lift", "SELECT * FROM tiers")
 def tier_lift(spark, sf):
-    return marts.risk_tier_performance(_stored_risk(spark, sf))
+    return marts.risk_tier_performance(f.risk(spark, sf))
 
 
 @register("country_leaderboard", "SELECT * FROM country_board")
@@ -459,7 +449,7 @@ def country_leaderboard(spark, sf):
            paper_mill_share, peer_review_fraud_share, ai_generated_share, median_latency_days, n_recent_5y,
            active_years, n_journals, rank_by_volume FROM country_board ORDER BY rank_by_volume LIMIT 15""")
 def country_leaderboard_top(spark, sf):
-    return serving.country_leaderboard(country_leaderboard(spark, sf), 15)
+    return serving.country_leaderboard(f.country_board(spark, sf), 15)
 
 
 @register("reason_landscape", "SELECT * FROM reason_board")
@@ -481,13 +471,13 @@ def reason_landscape_top(spark, sf):
            median_latency_days, china_share, risk_score, risk_tier, structural_score
     FROM risk WHERE n_retractions >= 8 AND risk_tier = '高' ORDER BY risk_score DESC, journal LIMIT 100""")
 def journal_risk_top(spark, sf):
-    return serving.journal_risk(_risk(spark, sf), 8, "高", 100)
+    return serving.journal_risk(f.risk(spark, sf), 8, "高", 100)
 
 
 @register("journal_top_share", """
     SELECT journal, n_retractions, paper_mill_share FROM risk ORDER BY paper_mill_share DESC, journal LIMIT 6""")
 def journal_top_share(spark, sf):
-    return serving.worst_journals_by_share(_risk(spark, sf))
+    return serving.worst_journals_by_share(f.risk(spark, sf))
 
 
 # --- event study ------------------------------------------------------------------------------
@@ -505,22 +495,22 @@ def ols_fit(spark, sf):
 
 @register("event_panel", "SELECT * FROM panel")
 def event_panel(spark, sf):
-    return f.panel(spark, sf)
+    return f.build_panel(spark, sf)
 
 
 @register("event_study", "SELECT * FROM study")
 def event_study(spark, sf):
-    return events.event_study(materialize(f.panel(spark, sf), "panel"))
+    return events.event_study(f.panel(spark, sf))
 
 
 @register("event_study_by_group", "SELECT * FROM group_study")
 def event_study_by_group(spark, sf):
-    return events.event_study_by_group(materialize(f.panel(spark, sf), "panel"))
+    return events.event_study_by_group(f.panel(spark, sf))
 
 
 @register("event_summary", "SELECT * FROM penalty")
 def event_summary(spark, sf):
-    return events.penalty_summary(event_study(spark, sf))
+    return events.penalty_summary(f.study(spark, sf))
 
 
 @register("event_extremes", """
@@ -528,14 +518,14 @@ def event_summary(spark, sf):
            min(citation_gap_pct) FILTER (WHERE is_post_retraction) AS worst_gap_pct,
            max(abs(citation_gap)) FILTER (WHERE NOT is_post_retraction) AS max_abs_gap_before FROM study""")
 def event_extremes(spark, sf):
-    return events.event_extremes(event_study(spark, sf))
+    return events.event_extremes(f.study(spark, sf))
 
 
 # --- graph ------------------------------------------------------------------------------------
 
 @register("pair_edges", "SELECT * FROM edges")
 def pair_edges(spark, sf):
-    return f.edges(spark, sf)
+    return f.build_edges(spark, sf)
 
 
 @register("edges_min_weight", "SELECT author_a, author_b, n_shared_works, n_fields FROM edges WHERE n_shared_works >= 3")
@@ -544,22 +534,26 @@ def edges_min_weight(spark, sf):
     return strong.select("author_a", "author_b", "n_shared_works", "n_fields")
 
 
-def _part_edges(spark: SparkSession, sf: str) -> DataFrame:
+def _build_part_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Parts that were ordered together at least twice, weighted by the number of orders."""
     shared = pairs.shared_groups(f.table(spark, sf, "lineitem"), "l_orderkey", "l_partkey")
     return shared.groupBy("a", "b").agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _part_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return f.stored(spark, sf, "part_edges", _build_part_edges)
+
+
 @register("weighted_pairs", "SELECT * FROM part_edges")
 def weighted_pairs(spark, sf):
-    return _part_edges(spark, sf)
+    return _build_part_edges(spark, sf)
 
 
 @register("graph_stats", """
     SELECT (SELECT count(*) FROM (SELECT a FROM part_edges UNION SELECT b FROM part_edges)) AS n_nodes,
            (SELECT count(*) FROM part_edges) AS n_edges""")
 def graph_stats(spark, sf):
-    return graph.graph_stats(materialize(_part_edges(spark, sf), "edges"))
+    return graph.graph_stats(_part_edges(spark, sf))
 
 
 @register("connected_components", "SELECT * FROM part_components")
@@ -569,33 +563,22 @@ def connected_components(spark, sf):
 
 @register("communities")
 def communities(spark, sf):
-    return graph.communities(materialize(_part_edges(spark, sf), "edges"))
-
-
-def _clusters(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges = materialize(f.edges(spark, sf), "edges")
-    membership = materialize(network.component_membership(edges), "membership")
-    return edges, membership, network.cluster_profile(edges, membership)
+    return graph.communities(_part_edges(spark, sf))
 
 
 @register("cluster_profile", "SELECT * FROM cluster_profile")
 def cluster_profile(spark, sf):
-    return _clusters(spark, sf)[2]
-
-
-def _scores(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    edges, membership, profile = _clusters(spark, sf)
-    return edges, membership, materialize(network.cluster_scores(materialize(profile, "profile")), "scores")
+    return network.cluster_profile(f.edges(spark, sf), f.membership(spark, sf))
 
 
 @register("cluster_scores", "SELECT * FROM cluster_scores")
 def cluster_scores(spark, sf):
-    return _scores(spark, sf)[2]
+    return network.cluster_scores(f.cluster_profile(spark, sf))
 
 
 @register("cluster_validation", "SELECT * FROM cluster_validation")
 def cluster_validation(spark, sf):
-    scores = _scores(spark, sf)[2]
+    scores = f.cluster_scores(spark, sf)
     signed = f.authorships(spark, sf)
     repeats = pairs.shared_groups(signed, "work_id", "author_id")
     return network.cluster_validation(scores, pairs.count_all_pairs(signed, "work_id", "author_id", repeats))
@@ -603,8 +586,7 @@ def cluster_validation(spark, sf):
 
 @register("cluster_members", "SELECT * FROM cluster_members")
 def cluster_members(spark, sf):
-    _, membership, scores = _scores(spark, sf)
-    return network.cluster_members(membership, scores, f.authorships(spark, sf))
+    return network.cluster_members(f.membership(spark, sf), f.cluster_scores(spark, sf), f.authorships(spark, sf))
 
 
 @register("density_by_size", """
@@ -612,7 +594,7 @@ def cluster_members(spark, sf):
            round(avg(CASE WHEN density >= 0.999 THEN 1::DOUBLE ELSE 0::DOUBLE END), 4) AS saturated_share
     FROM cluster_profile WHERE n_authors BETWEEN 3 AND 30 GROUP BY n_authors""")
 def density_by_size(spark, sf):
-    return network.density_by_size(_clusters(spark, sf)[2])
+    return network.density_by_size(f.cluster_profile(spark, sf))
 
 
 @register("clusters_by", """
@@ -621,7 +603,7 @@ def density_by_size(spark, sf):
            cluster_risk_score, cluster_structural_score
     FROM cluster_scores WHERE n_authors >= 4 ORDER BY total_shared_works DESC, cluster_id LIMIT 50""")
 def clusters_by(spark, sf):
-    return serving.author_clusters(_scores(spark, sf)[2], 4, 50, "total_shared_works")
+    return serving.author_clusters(f.cluster_scores(spark, sf), 4, 50, "total_shared_works")
 
 
 _SEVERITY, _STRUCTURAL = v.CLUSTER_SCORE_NAMES.values()
@@ -636,7 +618,7 @@ _SEVERITY, _STRUCTURAL = v.CLUSTER_SCORE_NAMES.values()
            (SELECT max(auc) FROM cluster_auc WHERE score_name = '{_SEVERITY}') AS auc_severity,
            (SELECT max(auc) FROM cluster_auc WHERE score_name = '{_STRUCTURAL}') AS auc_structural""")
 def network_summary(spark, sf):
-    return network.network_summary(*_scores(spark, sf))
+    return network.network_summary(f.edges(spark, sf), f.membership(spark, sf), f.cluster_scores(spark, sf))
 
 
 # --- quality ----------------------------------------------------------------------------------
@@ -712,57 +694,42 @@ def _check_oracle(chosen: tuple[str, ...] | None) -> str:
 
 
 def _check_tables(spark: SparkSession, sf: str, wanted: set[str]) -> dict[str, DataFrame]:
-    """Only the tables the chosen checks read; what several of them build on is written once."""
-    tables: dict[str, DataFrame] = {}
-
-    def need(*names: str) -> bool:
-        return bool(wanted.intersection(names))
-
-    if need("records", "record_reasons", "record_countries", "record_authors"):
-        records = materialize(stg_records(spark, sf), "records")
-        tables |= {
-            "records": records, "record_reasons": staging.record_reasons(records),
-            "record_countries": staging.record_countries(records), "record_authors": staging.record_authors(records),
-        }
-    if need("works", "work_authorships", "work_citations"):
-        landed = f.landed_works(spark, sf)
-        tables |= {
-            "works": staging.stage_works(landed, f.LOADED_AT), "work_authorships": staging.work_authorships(landed),
-            "work_citations": staging.work_citations(landed),
-        }
-    risk_tables = ("journal_profile", "journal_risk", "feature_discriminative_power", "risk_score_validation",
-                   "risk_tier_performance")
-    if need(*risk_tables, "records_enriched", "country_leaderboard", "retraction_trends", "works_enriched",
-            "event_study", "penalty_summary"):
-        tables["records_enriched"] = facts = materialize(f.enriched(spark, sf), "enriched")
-    if need(*risk_tables):
-        tables["journal_profile"] = profile = materialize(models.journal_profile(facts), "profile")
-        tables["journal_risk"] = risk = materialize(marts.journal_risk(profile), "risk")
-    if need("feature_discriminative_power"):
-        tables["feature_discriminative_power"] = marts.feature_discriminative_power(risk)
-    if need("risk_score_validation"):
-        tables["risk_score_validation"] = marts.risk_score_validation(risk)
-    if need("risk_tier_performance"):
-        tables["risk_tier_performance"] = marts.risk_tier_performance(risk)
-    if need("country_leaderboard"):
-        tables["country_leaderboard"] = marts.country_leaderboard(f.countries(spark, sf), facts)
-    if need("retraction_trends"):
-        tables["retraction_trends"] = materialize(marts.retraction_trends(facts), "trends")
-    if need("works_enriched", "event_study", "penalty_summary"):
-        linked = materialize(models.enrich_works(f.works(spark, sf), facts, f.AS_OF.year), "linked")
-        panel = models.event_panel(linked, f.citations(spark, sf), last_full_year=f.LAST_FULL_YEAR)
-        study = materialize(events.event_study(materialize(panel, "panel")), "study")
-        tables |= {"works_enriched": linked, "event_study": study, "penalty_summary": events.penalty_summary(study)}
-    if need("author_clusters", "author_cluster_members", "author_cluster_validation"):
-        _, membership, scores = _scores(spark, sf)
+    """The tables the chosen checks read."""
+    def landed() -> DataFrame:
+        return f.landed_works(spark, sf)
+
+    def validation() -> DataFrame:
         signed = f.authorships(spark, sf)
-        tables |= {"author_clusters": scores, "author_cluster_members": network.cluster_members(membership, scores, signed)}
-        if need("author_cluster_validation"):
-            repeats = pairs.shared_groups(signed, "work_id", "author_id")
-            tables["author_cluster_validation"] = network.cluster_validation(
-                scores, pairs.count_all_pairs(signed, "work_id", "author_id", repeats)
-            )
-    return tables
+        repeats = pairs.shared_groups(signed, "work_id", "author_id")
+        n_pairs = pairs.count_all_pairs(signed, "work_id", "author_id", repeats)
+        return network.cluster_validation(f.cluster_scores(spark, sf), n_pairs)
+
+    makers: dict[str, Callable[[], DataFrame]] = {
+        "records": lambda: f.staged(spark, sf),
+        "record_reasons": lambda: staging.record_reasons(f.staged(spark, sf)),
+        "record_countries": lambda: staging.record_countries(f.staged(spark, sf)),
+        "record_authors": lambda: staging.record_authors(f.staged(spark, sf)),
+        "works": lambda: staging.stage_works(landed(), f.LOADED_AT),
+        "work_authorships": lambda: staging.work_authorships(landed()),
+        "work_citations": lambda: staging.work_citations(landed()),
+        "records_enriched": lambda: f.enriched(spark, sf),
+        "journal_profile": lambda: f.profile(spark, sf),
+        "journal_risk": lambda: f.risk(spark, sf),
+        "feature_discriminative_power": lambda: marts.feature_discriminative_power(f.risk(spark, sf)),
+        "risk_score_validation": lambda: marts.risk_score_validation(f.risk(spark, sf)),
+        "risk_tier_performance": lambda: marts.risk_tier_performance(f.risk(spark, sf)),
+        "country_leaderboard": lambda: f.country_board(spark, sf),
+        "retraction_trends": lambda: f.trends(spark, sf),
+        "works_enriched": lambda: f.works_enriched(spark, sf),
+        "event_study": lambda: f.study(spark, sf),
+        "penalty_summary": lambda: events.penalty_summary(f.study(spark, sf)),
+        "author_clusters": lambda: f.cluster_scores(spark, sf),
+        "author_cluster_members": lambda: network.cluster_members(
+            f.membership(spark, sf), f.cluster_scores(spark, sf), f.authorships(spark, sf)
+        ),
+        "author_cluster_validation": validation,
+    }
+    return {name: make() for name, make in makers.items() if name in wanted}
 
 
 def _run_checks(spark: SparkSession, sf: str, chosen: tuple[str, ...] | None) -> DataFrame:
@@ -837,7 +804,7 @@ _STAGED_TEXT = ("title", "journal", "author_raw", "reason_raw", "notes", "urls",
     f"AS null_pct, avg(CASE WHEN {c} IS NULL THEN 1::DOUBLE ELSE 0::DOUBLE END) AS raw FROM staged"
     for c in _STAGED_TEXT) + ") ORDER BY raw DESC, column_name LIMIT 5")
 def null_rates(spark, sf):
-    return aggregates.null_rates(stg_records(spark, sf), _STAGED_TEXT)
+    return aggregates.null_rates(f.staged(spark, sf), _STAGED_TEXT)
 
 
 @register("date_profile", f"""
@@ -851,7 +818,7 @@ def date_profile(spark, sf):
     SELECT retraction_nature, count(*) AS n FROM staged WHERE retraction_nature IS NOT NULL
     GROUP BY ALL ORDER BY n DESC, retraction_nature LIMIT 10""")
 def top_values(spark, sf):
-    return aggregates.top_values(stg_records(spark, sf), "retraction_nature", 10)
+    return aggregates.top_values(f.staged(spark, sf), "retraction_nature", 10)
 
 
 @register("top_values_exploded", """
@@ -894,7 +861,7 @@ def latency_histogram(spark, sf):
     SELECT year, median_latency_days / 365.25::DOUBLE AS median_years, n_retractions FROM trends
     WHERE year BETWEEN 1990 AND 2025 AND median_latency_days IS NOT NULL""")
 def latency_by_year(spark, sf):
-    return serving.latency_by_year(trend_yoy(spark, sf), 1990)
+    return serving.latency_by_year(f.trends(spark, sf), 1990)
 
 
 @register("overview_metrics", """
@@ -905,12 +872,9 @@ def latency_by_year(spark, sf):
            (SELECT count(*) FROM risk) AS scored_journals, (SELECT count(*) FROM cluster_scores) AS clusters,
            (SELECT count(DISTINCT country) FROM countries) AS countries""")
 def overview_metrics(spark, sf):
-    facts = materialize(f.enriched(spark, sf), "enriched")
-    works = f.works(spark, sf)
     return serving.overview_metrics(
-        f.records(spark, sf), works, models.enrich_works(works, facts, f.AS_OF.year), facts,
-        marts.journal_risk(materialize(models.journal_profile(facts), "profile")),
-        _scores(spark, sf)[2], f.countries(spark, sf),
+        f.records(spark, sf), f.works(spark, sf), f.works_enriched(spark, sf), f.enriched(spark, sf),
+        f.risk(spark, sf), f.cluster_scores(spark, sf), f.countries(spark, sf),
     )
 
 

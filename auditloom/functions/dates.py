@@ -7,26 +7,24 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.text import _col, trim_spaces
 
-# The spellings of a date in the record files, as (shape, format).
-DATE_FORMATS = (
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}$", "M/d/yyyy H:mm"),
-    (r"(?i)^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2} [AP]M$", "M/d/yyyy h:mm:ss a"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+# month/day/year, alone or with a 24-hour or a 12-hour time.
+DATE_FORMAT = "M/d/yyyy"
+DATE_SHAPE = (
+    r"(?i)^\d{1,2}/\d{1,2}/\d{4}"
+    r"( ([01]?\d|2[0-3]):[0-5]\d| (0?[1-9]|1[0-2]):[0-5]\d:[0-5]\d [AP]M)?$"
 )
 DAYS_PER_YEAR = 365.25
 
 
-def parse_date(c: Column | str, formats: tuple[tuple[str, str], ...] = DATE_FORMATS) -> Column:
-    """Date of the format whose shape the text has; NULL when none fits or the day does not exist.
+def parse_date(c: Column | str) -> Column:
+    """Date of a text in one of the known spellings; NULL when none fits or the day does not exist.
 
-    Choosing by shape parses each text once. Trying one format after the other would raise and
-    catch an exception per row and miss, which costs far more than the pattern.
+    The shape is checked by one pattern and the day parsed once. Trying one format after the
+    other would raise and catch an exception per row and miss.
     """
     text = trim_spaces(c)
-    chosen = F.lit(None).cast("timestamp")
-    for shape, fmt in reversed(formats):
-        chosen = F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))).otherwise(chosen)
-    return F.to_date(chosen)
+    day = F.try_to_timestamp(F.substring_index(text, " ", 1), F.lit(DATE_FORMAT))
+    return F.to_date(F.when(text.rlike(DATE_SHAPE), day))
 
 
 def year_of(c: Column | str) -> Column:

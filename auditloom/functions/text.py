@@ -31,10 +31,15 @@ def trim_spaces(c: Column | str) -> Column:
     return F.btrim(_col(c), F.lit(SPACES))
 
 
+def _unless_listed(text: Column, compared: Column, missing: Sequence[str]) -> Column:
+    """One call instead of a chain of comparisons keeps the generated code of wide tables small."""
+    return F.when(F.find_in_set(compared, F.lit(",".join(missing))) == 0, text)
+
+
 def clean_text(c: Column | str) -> Column:
     """Trimmed text; the missing-value spellings become NULL whatever their case."""
     text = trim_spaces(c)
-    return F.when(~F.lower(text).isin(*MISSING_TEXT), text)
+    return _unless_listed(text, F.lower(text), MISSING_TEXT)
 
 
 def normalize_doi(c: Column | str) -> Column:
@@ -46,7 +51,7 @@ def normalize_doi(c: Column | str) -> Column:
 def normalize_pubmed(c: Column | str) -> Column:
     """PubMed id as text; the source writes 0 for a missing one."""
     text = trim_spaces(c)
-    return F.when(~text.isin(*MISSING_PUBMED), text)
+    return _unless_listed(text, text, MISSING_PUBMED)
 
 
 def split_multi(c: Column | str, separator: str = VALUE_SEPARATOR) -> Column:

@@ -878,12 +878,36 @@ def overview_metrics(spark, sf):
     )
 
 
-@register("table_profile")
+_COLUMNS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "pages": "page_id bigint, url string, html string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+}
+_PROFILE = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, CAST({n} AS INTEGER) AS position, '{c.split()[0]}' AS column_name, "
+    f"'{c.split()[1]}' AS data_type, (SELECT count(*) FROM {t}) AS n_rows"
+    for t, columns in _COLUMNS.items() for n, c in enumerate(columns.split(", "), start=1)
+)
+
+
+@register("table_profile", _PROFILE)
 def table_profile(spark, sf):
     return profiling.table_profile({t: f.table(spark, sf, t) for t in _TABLES})
 
 
-@register("doc_coverage")
+@register("doc_coverage", f"""
+    SELECT table_name, count(*) AS n_columns, count(*) FILTER (WHERE column_name NOT LIKE '%key') AS n_documented,
+           {o.ratio("100 * count(*) FILTER (WHERE column_name NOT LIKE '%key')", 'count(*)', 1)} AS coverage_pct
+    FROM ({_PROFILE}) GROUP BY table_name""")
 def doc_coverage(spark, sf):
     profile = table_profile(spark, sf)
     described = profile.filter(~F.col("column_name").endswith("key")).select(

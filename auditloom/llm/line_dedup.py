@@ -67,9 +67,10 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     lines). Rows that repeat both id and text are one document: the same lines go in all of them. Columns
     named n_lines or n_removed are replaced; all other columns are kept, whatever their names.
     """
+    # What is gone grows with the texts, so it is shuffled at every size, never broadcast.
     gone = materialize(repeated_lines(docs, window), "gone").select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone")
-    )
+    ).hint("merge")
     keyed = docs.drop("n_lines", "n_removed").withColumn("__text_hash", F.xxhash64("text"))
     met = keyed.join(
         gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash")), "left"

@@ -111,7 +111,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     sets.append(found.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("rep"))
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("rep"))
     return texts.select("rep", "set_hash", "text").mapInArrow(read, "rep long, shingles array<bigint>")
 
 

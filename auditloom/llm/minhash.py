@@ -3,9 +3,10 @@
 Texts with the same set of shingles are one class from the start. Every class gets the minima of
 many universal hash functions; ``ROWS`` minima at a time make a band, and classes that share a band
 are candidates. Candidates are compared by signature and then on their full sets. Within a bucket
-the pairs are never listed: first all members are held against one, later only members of different
-components meet, in blocks of a fixed size; every such pair whose signature passes is confirmed on
-the full sets, so no link between components is lost.
+the pairs are never listed: first all members are held against one, then members of different
+components meet in blocks of a fixed size. A block checks every such pair whose signature passes on
+the full sets, in the first band that the pair shares, and returns a link only where it joins two
+components, so no link between components is lost and the links grow with the members.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ ROWS = 5
 #: A signature is 200 minima of 8 bits; its estimate is off by 0.028 (one deviation) at 0.8.
 SLACK = 0.14
 MINOR_BLOCK = 256
-OTHER_BLOCK = 4096
+OTHER_BLOCK = 1024
 
 _RNG = np.random.default_rng(20240607)
 _A = (_RNG.integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -140,18 +141,18 @@ def confirmed(pairs: DataFrame, sets: DataFrame, min_percent: int) -> DataFrame:
     of_b = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("of_b"))
     common = F.size(F.array_intersect("of_a", "of_b"))
     met = pairs.join(of_a, "a").join(of_b, "b")
-    return met.filter(100 * common >= min_percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b").distinct()
+    return met.filter(100 * common >= min_percent * (F.size("of_a") + F.size("of_b") - common)).select("a", "b")
 
 
 def _blocks(rows: Column, size: int) -> Column:
     return F.greatest(F.lit(1), F.ceil(rows / size)).cast("int")
 
 
-def crossing(members: DataFrame, reps: DataFrame, home: DataFrame, floor: float, best: bool) -> DataFrame:
-    """(a, b): pairs of a bucket in different components whose signatures pass.
+def crossing(members: DataFrame, reps: DataFrame, sets: DataFrame, home: DataFrame, min_percent: int) -> DataFrame:
+    """(a, b): confirmed links that join components of one bucket; with ``home`` they span all of them.
 
     In a bucket every member outside the bucket's largest component meets all members, block by block.
-    With ``best`` a member names only its closest partner in each block.
+    Members without a passing partner in their block go before the full sets are fetched.
     """
     placed = members.select("band", "rep").join(home.withColumnRenamed("node", "rep"), "rep", "left").select(
         "band", "rep", F.coalesce("component", "rep").alias("component")
@@ -169,43 +170,88 @@ def crossing(members: DataFrame, reps: DataFrame, home: DataFrame, floor: float,
         ),
         "buckets",
     )
-    met = placed.join(buckets, "band").join(reps.select("rep", "sketch"), "rep")
+    met = placed.join(buckets, "band").join(reps.select("rep", "bands", "sketch"), "rep")
     spread = F.xxhash64("rep")
+    facts = ["rep", "component", "bands", "sketch"]
     minor = met.filter(F.col("component") != F.col("major")).select(
         "band", F.pmod(spread, F.col("minor_blocks")).cast("int").alias("mine"),
-        F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("other"),
-        F.lit(True).alias("minor"), "rep", "component", "sketch",
+        F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)).alias("other"), F.lit(True).alias("minor"), *facts,
     )
     others = met.select(
         "band", F.explode(F.sequence(F.lit(0), F.col("minor_blocks") - 1)).alias("mine"),
-        F.pmod(spread, F.col("other_blocks")).cast("int").alias("other"),
-        F.lit(False).alias("minor"), "rep", "component", "sketch",
+        F.pmod(spread, F.col("other_blocks")).cast("int").alias("other"), F.lit(False).alias("minor"), *facts,
     )
-    together = minor.unionByName(others).repartition("band", "mine", "other").sortWithinPartitions("band", "mine", "other")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _groups(batches):
-            minors = np.asarray(block.column("minor").to_numpy(zero_copy_only=False), dtype=bool)
-            rep, part = block.column("rep").to_numpy(), block.column("component").to_numpy()
-            sketch = _matrix(block.column("sketch").combine_chunks())
-            left, right = np.flatnonzero(minors), np.flatnonzero(~minors)
-            if not len(left) or not len(right):
-                continue
-            a, b = [], []
-            for i in left:
-                agree = (sketch[right] == sketch[i]).mean(axis=1)
-                agree[part[right] == part[i]] = -1
-                if best:
-                    top = int(agree.argmax())
-                    chosen = right[[top]] if agree[top] >= floor else right[:0]
-                else:
-                    chosen = right[agree >= floor]
-                a.append(np.full(len(chosen), rep[i]))
-                b.append(rep[chosen])
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
-
-    return together.mapInArrow(meet, "a long, b long").distinct()
+    keys = ["band", "mine", "other"]
+    together = minor.unionByName(others).repartition(*keys).sortWithinPartitions(*keys)
+    floor = min_percent / 100 - SLACK
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            block = _Block(rows)
+            useful = np.zeros(len(block.rep), dtype=bool)
+            for i in block.minors:
+                partners = block.partners(i, floor)
+                useful[partners] = True
+                useful[i] |= len(partners) > 0
+            if useful.any():
+                yield from rows.filter(pa.array(useful)).to_batches()
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            found = _Block(rows).links(rows.column("shingles").combine_chunks(), floor, min_percent)
+            if found:
+                yield pa.RecordBatch.from_pydict(
+                    {"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())}
+                )
+
+    kinds = "band long, mine int, other int, minor boolean, rep long, component long, bands array<bigint>, sketch binary"
+    sifted = materialize(together.mapInArrow(sift, kinds), "sifted")
+    full = sifted.join(sets, "rep").repartition(*keys).sortWithinPartitions(*keys)
+    return full.mapInArrow(link, "a long, b long").distinct()
+
+
+class _Block:
+    """Members of a bucket that meet: minors against the others."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        minor = np.asarray(rows.column("minor").to_numpy(zero_copy_only=False), dtype=bool)
+        self.minors, self.others = np.flatnonzero(minor), np.flatnonzero(~minor)
+        self.rep, self.part = rows.column("rep").to_numpy(), rows.column("component").to_numpy()
+        self.sketch = _matrix(rows.column("sketch").combine_chunks())
+        self.bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.place = int(np.flatnonzero(self.bands[0] == rows.column("band")[0].as_py())[0]) if len(self.rep) else 0
+
+    def partners(self, i: int, floor: float) -> np.ndarray:
+        """Others in another component whose signature passes, and with whom this is the first band shared."""
+        near = self.others[(self.part[self.others] != self.part[i]) & ~(self.bands[self.others, : self.place] == self.bands[i, : self.place]).any(axis=1)]
+        return near[(self.sketch[near] == self.sketch[i]).mean(axis=1) >= floor] if len(near) else near
+
+    def links(self, sets: pa.ListArray, floor: float, min_percent: int) -> list[tuple[int, int]]:
+        values, starts = sets.values.to_numpy(), sets.offsets.to_numpy()
+        sizes = np.diff(starts)
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        out = []
+        for i in self.minors:
+            own = values[starts[i] : starts[i + 1]]
+            own = np.sort(own)
+            for j in self.partners(i, floor):
+                mine, its = find(self.part[i]), find(self.part[j])
+                if mine == its:
+                    continue
+                other = values[starts[j] : starts[j + 1]]
+                at = np.searchsorted(own, other)
+                at[at == len(own)] = 0
+                common = int((own[at] == other).sum())
+                if 100 * common >= min_percent * (sizes[i] + sizes[j] - common):
+                    root[mine] = its
+                    out.append((int(self.rep[i]), int(self.rep[j])))
+        return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -255,17 +301,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, min_percent: int = MIN_
     floor = min_percent / 100 - SLACK
 
     star = members.filter(F.col("rep") != F.col("hub")).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    tried = materialize(_passing(star, reps, floor), "tried")
-    links = materialize(confirmed(tried, sets, min_percent), "links")
+    links = materialize(confirmed(_passing(star, reps, floor), sets, min_percent), "links")
     home = materialize(components(links), "home")
-    for best in (True, False):
-        found = crossing(members, reps, home, floor, best).join(tried, ["a", "b"], "left_anti")
-        found = materialize(found, "found")
-        fresh = materialize(confirmed(found, sets, min_percent), "fresh")
-        tried = tried.unionByName(found)
-        if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            home = materialize(components(links), "home")
+    more = materialize(crossing(members, reps, sets, home, min_percent), "more")
+    if not more.isEmpty():
+        home = materialize(components(links.unionByName(more)), "home")
     named = materialize(
         reps.select("rep", "set_hash").join(home, F.col("rep") == F.col("node"), "left")
         .select(F.col("set_hash").alias("of_hash"), F.coalesce("component", "rep").alias("component")),

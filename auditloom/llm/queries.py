@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import (
-    html_text, language, line_dedup, minhash, mixing, quality, toxicity,
+    bpe, html_text, language, line_dedup, minhash, mixing, quality, toxicity,
 )
 from auditloom.llm.common import crc32_mod, table
 
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(TOKENIZER)
+    encoded = bpe.encode(table(spark, sf_dir, "documents"), path)
+    return bpe.decode(encoded, path).select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(table(spark, sf_dir, "documents"), with_text=False)
 
@@ -66,6 +78,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_quality_rules": op3_quality_rules,
     "op5_html_extraction": op5_html_extraction,
     "op7_mixing": op7_mixing,

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.llm import html_text, language, line_dedup, minhash, mixing, quality, queries, toxicity
+from auditloom.llm import bpe, html_text, language, line_dedup, minhash, mixing, quality, queries, toxicity
 from auditloom.llm.words import WordHashes
 
 SF = "/root/testdata/sf0.001"
@@ -84,6 +84,47 @@ def test_near_duplicates_odd_rows(spark):
     assert minhash.near_duplicates(documents(spark, (1, "a", "b")).limit(0)).count() == 0
 
 
+# encoding
+
+TRICKY = [
+    "it's they'll I'M 'sabc x.'s \n's  two  spaces\n\n new\tline \u00a0nbsp\u2003em", "a<|endoftext|>b <|endoftext|>", "<|endoftext|><|endoftext|>",
+    "caf\u00e9 na\u00efve \u4f60\u597d \U0001f600\U0001f468\u200d\U0001f469 \u0661\u0662 x\u00b2", "   ", "\n", " \n ", "tail   ", "\x00\x1c\x1d\x85 ctrl", "!!??...''ve", "x" * 3000, "1234 5,678",
+]
+
+
+def test_encoding_matches_the_library(spark, tmp_path):
+    from public_tokenizers import path as vocabulary
+    from tokenizers import Tokenizer
+
+    path = vocabulary(queries.TOKENIZER)
+    tokenizer = Tokenizer.from_file(path)
+    rows = [*ODD, *[(100 + i, t, "s") for i, t in enumerate(TRICKY)]]
+    documents(spark, *rows).write.parquet(str(tmp_path / "docs"))
+    encoded = bpe.encode(spark.read.parquet(str(tmp_path / "docs")), path, ["doc_id", "n_chars"])
+    got = Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["text"]) for r in bpe.decode(encoded, path).collect())
+    want = Counter()
+    for i, t, _ in rows:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids
+        want[(i, len(ids), b"".join(x.to_bytes(4, "little") for x in ids), tokenizer.decode(ids, skip_special_tokens=False))] += 1
+    assert got == want
+    assert bpe.encode(spark.read.parquet(str(tmp_path / "docs")).filter("doc_id = -1"), path).count() == 0
+
+
+def test_encoding_of_whole_documents(spark):
+    import hashlib
+
+    from public_tokenizers import path as vocabulary
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(vocabulary(queries.TOKENIZER))
+    texts = texts_of(spark)
+    for r in queries.op2_bpe_round_trip(spark, SF).collect():
+        ids = tokenizer.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids)
+        assert r["ids_sha256"] == hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
 # quality rules
 
 

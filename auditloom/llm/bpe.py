@@ -10,18 +10,20 @@ vocabulary, which is fixed and small, and reads the bytes of a whole text at onc
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from itertools import chain
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Characters of text in a block, unless one document has more.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 10_000_000
 #: Fixed values of the byte-level tokenizer: its pattern, and the text it takes as one special token.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -62,7 +64,7 @@ def _blocks(texts: DataFrame, path: str, keep: Sequence[str]) -> DataFrame:
 
 
 def _vocabularies(texts: DataFrame, path: str, parts: int) -> DataFrame:
-    """(block, part, numbers, words): the distinct words of a block, dealt out by a hash of the word."""
+    """(block, part, numbers, sizes, letters): the distinct words of a block, dealt out by a hash of the word."""
 
     def close(rows: list, numbers: Numbers) -> pa.RecordBatch:
         dealt: dict[int, tuple[list[int], list[str]]] = {}
@@ -74,14 +76,14 @@ def _vocabularies(texts: DataFrame, path: str, parts: int) -> DataFrame:
             [
                 pa.array(_name(rows).to_pylist()[:1] * len(dealt), pa.int64()), pa.array(dealt, pa.int32()),
                 pa.array([_packed(np.array(n, np.uint32)) for n, _ in dealt.values()], pa.binary()),
-                pa.array([w for _, w in dealt.values()], pa.list_(pa.string())),
+                pa.array([_packed(np.fromiter(map(len, w), np.uint32, len(w))) for _, w in dealt.values()], pa.binary()),
+                pa.array([_squeezed("".join(w).encode()) for _, w in dealt.values()], pa.binary()),
             ],
-            ["block", "part", "numbers", "words"],
+            ["block", "part", "numbers", "sizes", "letters"],
         )
 
-    return texts.select("__row", "text").mapInArrow(
-        _reader(path, close), "block long, part int, numbers binary, words array<string>"
-    )
+    kinds = "block long, part int, numbers binary, sizes binary, letters binary"
+    return texts.select("__row", "text").mapInArrow(_reader(path, close, False), kinds)
 
 
 def _name(rows: list) -> pa.Array:
@@ -90,19 +92,26 @@ def _name(rows: list) -> pa.Array:
     return pa.array([batch.column("__row")[i].as_py()] * len(rows), pa.int64())
 
 
-def _reader(path: str, close: Callable) -> Callable:
+def _reader(path: str, close: Callable, positions: bool = True) -> Callable:
     """Reads rows of (__row, text, ...) in blocks of text and yields what ``close`` makes of each."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, numbers, rows, chars = Splitter(Tokenizer.from_file(path)), Numbers(), [], 0
         for batch in batches:
-            for i, text in enumerate(batch.column("text")):
+            texts, batch = batch.column("text"), batch.drop_columns(["text"])
+            for i, text in enumerate(texts):
                 text = text.as_py() or ""
                 if rows and chars + len(text) > BLOCK_CHARS:
                     yield close(rows, numbers)
                     numbers, rows, chars = Numbers(), [], 0
                 words = split(text)
-                rows.append((batch, i, np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words))))
+                codes = None
+                if positions:
+                    codes = np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words))
+                else:
+                    for word in dict.fromkeys(words):
+                        numbers[word]
+                rows.append((batch, i, codes))
                 chars += len(text)
         if rows:
             yield close(rows, numbers)
@@ -110,13 +119,22 @@ def _reader(path: str, close: Callable) -> Callable:
     return read
 
 
+def _squeezed(data: bytes) -> bytes:
+    return zstandard.compress(data, 1)
+
+
 def _packed(values: np.ndarray) -> bytes:
     """The four bytes of all numbers apart, compressed: most numbers are small."""
-    return zlib.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return _squeezed(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), dtype=np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def _words(sizes: bytes, letters: bytes) -> list[str]:
+    text = zstandard.decompress(letters).decode()
+    return [text[a:b] for a, b in pairwise(accumulate(_unpacked(sizes).tolist(), initial=0))]
 
 
 def encode_words(vocabularies: DataFrame, path: str) -> DataFrame:
@@ -124,22 +142,25 @@ def encode_words(vocabularies: DataFrame, path: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Tokenizer.from_file(path).encode_batch_fast
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}
         for batch in batches:
             lengths, ids = [], []
-            for words in batch.column("words"):
-                words = words.as_py()
+            for sizes, letters in zip(batch.column("sizes").to_pylist(), batch.column("letters").to_pylist(), strict=True):
+                words = _words(sizes, letters)
                 new = [w for w in words if w not in known]
-                known.update((w, got.ids) for w, got in zip(new, encode(new, add_special_tokens=False), strict=True))
+                for i in range(0, len(new), 2000):
+                    part = new[i : i + 2000]
+                    for word, got in zip(part, encode(part, add_special_tokens=False), strict=True):
+                        known[word] = array("I", got.ids).tobytes()
                 own = [known[w] for w in words]
-                lengths.append(_packed(np.fromiter(map(len, own), np.uint32, len(own))))
-                ids.append(_packed(np.fromiter(chain.from_iterable(own), np.uint32)))
+                lengths.append(_packed(np.fromiter(map(len, own), np.uint32, len(own)) // 4))
+                ids.append(_packed(np.frombuffer(b"".join(own), np.uint32)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("block"), batch.column("numbers"), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())],
                 ["block", "numbers", "lengths", "ids"],
             )
 
-    return vocabularies.repartition("part").select("block", "numbers", "words").mapInArrow(
+    return vocabularies.repartition("part").select("block", "numbers", "sizes", "letters").mapInArrow(
         read, "block long, numbers binary, lengths binary, ids binary"
     )
 
@@ -218,7 +239,8 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
         joined = [table[i] for i in numbers.tolist()]
         size = int(numbers.max()) + 1
         bytes_of = _Runs([(numbers, np.array(list(map(len, joined)), np.uint32), np.frombuffer(b"".join(joined), np.uint8))], np.uint8)
-        for batch in batches:
+        parts = (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000))
+        for batch in parts:
             texts = []
             for ids in batch.column("ids"):
                 ids = np.frombuffer(ids.as_py() or b"", "<u4")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import (
-    bpe, html_text, language, line_dedup, minhash, mixing, quality, toxicity,
+    bpe, class_lm, html_text, language, line_dedup, minhash, mixing, quality, toxicity,
 )
 from auditloom.llm.common import crc32_mod, table
 
@@ -36,6 +36,13 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = crc32_mod("doc_id", 10) == 0
+    model, counts = class_lm.learn(docs.filter(~held_out))
+    return class_lm.score(docs, model, counts, held_out)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -81,6 +88,7 @@ QUERIES = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_quality_rules": op3_quality_rules,
     "op5_html_extraction": op5_html_extraction,
+    "op6_class_lm": op6_class_lm,
     "op7_mixing": op7_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,

@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.llm import bpe, html_text, language, line_dedup, minhash, mixing, quality, queries, toxicity
+from auditloom.llm import bpe, class_lm, html_text, language, line_dedup, minhash, mixing, quality, queries, toxicity
 from auditloom.llm.words import WordHashes
 
 SF = "/root/testdata/sf0.001"
@@ -125,6 +126,49 @@ def test_encoding_of_whole_documents(spark):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+# class model
+
+
+def test_class_model_base_scores_and_gain(spark):
+    import math
+
+    texts = texts_of(spark)
+    train = Counter()
+    for i, t in texts.items():
+        if zlib.crc32(str(i).encode()) % 10:
+            train.update([*WORD.findall((t or "").translate(LOWER)), None])
+    n, v = sum(train.values()), len(train)
+    gain = []
+    for r in queries.op6_class_lm(spark, SF).collect():
+        tokens = [*WORD.findall((texts[r["doc_id"]] or "").translate(LOWER)), None]
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(tokens), sum(train[w] > 0 for w in tokens), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((train[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens), rel=1e-9)
+        assert r["score"] < 0
+        if r["held_out"]:
+            gain.append((r["score"] - r["base_score"]) / r["n_tokens"])
+    assert sum(gain) / len(gain) > 0
+
+
+def test_class_model_odd_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(class_lm, "HELD", 3)  # nearly all counts come by the join
+    df = documents(spark, *ODD, (20, "two words two", "a"))
+    model, counts = class_lm.learn(df)
+    rows = class_lm.score(df, model, counts, F.lit(False)).collect()
+    assert len(rows) == len(ODD) + 1
+    for r in rows:
+        assert r["n_known"] == r["n_tokens"] and r["score"] <= 0
+    empty = df.limit(0)
+    model, counts = class_lm.learn(empty)
+    assert class_lm.score(empty, model, counts, F.lit(True)).count() == 0
+    assert {r["n_known"] for r in class_lm.score(df, model, counts, F.lit(True)).collect()} == {0}
+
+
+def test_class_probabilities_sum_to_one():
+    pairs = np.random.default_rng(0).integers(0, 5, (class_lm.CLASSES, class_lm.CLASSES)).astype(float)
+    assert class_lm.smoothed_transitions(pairs).sum(1) == pytest.approx(np.ones(class_lm.CLASSES))
+
+
 # quality rules
 
 

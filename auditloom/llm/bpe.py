@@ -12,18 +12,21 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from hashlib import sha256
 from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Characters of text in a block, unless one document has more.
 BLOCK_CHARS = 10_000_000
+#: Rows of a block that are decoded at a time.
+SLICE = 500
 #: Fixed values of the byte-level tokenizer: its pattern, and the text it takes as one special token.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -36,12 +39,16 @@ class Numbers(dict):
         return number
 
 
+def special_tokens(path: str) -> list[str]:
+    return [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
+
+
 class Splitter:
     """Cuts texts into the words that the tokenizer encodes one by one; special tokens are words."""
 
-    def __init__(self, tokenizer: Tokenizer) -> None:
+    def __init__(self, special: Sequence[str]) -> None:
         self.words = regex.compile(PATTERN).findall
-        self.special = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = sorted(special, key=len, reverse=True)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
 
     def __call__(self, text: str) -> list[str]:
@@ -51,7 +58,7 @@ class Splitter:
         return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.words(part))]
 
 
-def _blocks(texts: DataFrame, path: str, keep: Sequence[str]) -> DataFrame:
+def _blocks(texts: DataFrame, special: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(block, *keep, codes): every document as the numbers of its words in its block."""
 
     def close(rows: list, numbers: Numbers) -> pa.RecordBatch:
@@ -60,10 +67,10 @@ def _blocks(texts: DataFrame, path: str, keep: Sequence[str]) -> DataFrame:
         return pa.RecordBatch.from_arrays([_name(rows), *kept, packed], ["block", *keep, "codes"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.select(*keep).schema.fields)
-    return texts.select("__row", *keep, "text").mapInArrow(_reader(path, close), f"block long, {kinds}codes binary")
+    return texts.select("__row", *keep, "text").mapInArrow(_reader(special, close), f"block long, {kinds}codes binary")
 
 
-def _vocabularies(texts: DataFrame, path: str, parts: int) -> DataFrame:
+def _vocabularies(texts: DataFrame, special: Sequence[str], parts: int) -> DataFrame:
     """(block, part, numbers, sizes, letters): the distinct words of a block, dealt out by a hash of the word."""
 
     def close(rows: list, numbers: Numbers) -> pa.RecordBatch:
@@ -83,7 +90,7 @@ def _vocabularies(texts: DataFrame, path: str, parts: int) -> DataFrame:
         )
 
     kinds = "block long, part int, numbers binary, sizes binary, letters binary"
-    return texts.select("__row", "text").mapInArrow(_reader(path, close, False), kinds)
+    return texts.select("__row", "text").mapInArrow(_reader(special, close, False), kinds)
 
 
 def _name(rows: list) -> pa.Array:
@@ -92,11 +99,11 @@ def _name(rows: list) -> pa.Array:
     return pa.array([batch.column("__row")[i].as_py()] * len(rows), pa.int64())
 
 
-def _reader(path: str, close: Callable, positions: bool = True) -> Callable:
+def _reader(special: Sequence[str], close: Callable, positions: bool = True) -> Callable:
     """Reads rows of (__row, text, ...) in blocks of text and yields what ``close`` makes of each."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, numbers, rows, chars = Splitter(Tokenizer.from_file(path)), Numbers(), [], 0
+        split, numbers, rows, chars = Splitter(special), Numbers(), [], 0
         for batch in batches:
             texts, batch = batch.column("text"), batch.drop_columns(["text"])
             for i, text in enumerate(texts):
@@ -189,28 +196,38 @@ class _Runs:
         return _gather(self.values, self.starts[numbers], self.lengths[numbers])
 
 
-def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), then: Callable | None = None, columns: str = ""
+) -> DataFrame:
     """``keep`` columns, ids (binary, little-endian unsigned 32-bit) and n_tokens of every row of ``docs``.
 
     Whole texts, as the tokenizer of the file encodes them without adding special tokens; special tokens
     that a text spells out are encoded as such. A null or empty text has no ids. Repeated rows are
     encoded each. The texts are read twice in the same partitions, once for words and once for
     positions, so ``docs`` must be a table read from files; write others first.
+
+    ``then`` goes on with the result in the same task: it takes Arrow tables of some rows and returns
+    tables of the ``keep`` columns and ``columns`` (DDL).
     """
     numbered = docs.select("text", *[F.col(f"`{c}`") for c in keep]).withColumn("__row", F.monotonically_increasing_id())
     parts = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    documents = _blocks(numbered, path, keep)
-    coded = encode_words(_vocabularies(numbered, path, parts), path)
+    special = special_tokens(path)
+    documents = _blocks(numbered, special, keep)
+    coded = encode_words(_vocabularies(numbered, special, parts), path)
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        columns = (map(_unpacked, right.column(c).to_pylist()) for c in ("numbers", "lengths", "ids"))
-        words = _Runs(zip(*columns, strict=True), np.uint32)
-        ids = [words.of(_unpacked(codes.as_py())) for codes in left.column("codes")]
-        out = left.select(keep).append_column("ids", pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()))
-        return out.append_column("n_tokens", pa.array(map(len, ids), pa.int64()))
+        facts = (map(_unpacked, right.column(c).to_pylist()) for c in ("numbers", "lengths", "ids"))
+        words, done = _Runs(zip(*facts, strict=True), np.uint32), []
+        for i in range(0, left.num_rows, SLICE):
+            part = left.slice(i, SLICE)
+            ids = [words.of(_unpacked(codes.as_py())) for codes in part.column("codes")]
+            out = part.select(keep).append_column("ids", pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()))
+            out = out.append_column("n_tokens", pa.array(map(len, ids), pa.int64()))
+            done.append(out if then is None else then(out))
+        return pa.concat_tables(done)
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields)
-    return documents.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join, f"{kinds}ids binary, n_tokens long")
+    return documents.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(join, kinds + (columns or "ids binary, n_tokens long"))
 
 
 def pieces(path: str) -> dict[int, bytes]:
@@ -224,28 +241,52 @@ def pieces(path: str) -> dict[int, bytes]:
     return {i: special[i] if i in special else bytes(map(byte_of.__getitem__, piece)) for piece, i in tokenizer.get_vocab().items()}
 
 
+def decoder(spark: SparkSession, path: str) -> Callable[[pa.ChunkedArray], pa.Array]:
+    """A function from ids (binary) to texts that joins every id with its piece.
+
+    The vocabulary is a fixed table of the tokenizer file; it is sent to the tasks, ids are not.
+    """
+    table = sorted(pieces(path).items())
+    numbers, lengths = np.array([i for i, _ in table], np.uint32), np.array([len(b) for _, b in table], np.uint32)
+    shared = spark.sparkContext.broadcast((numbers, lengths, np.frombuffer(b"".join(b for _, b in table), np.uint8)))
+
+    def texts(column: pa.ChunkedArray) -> pa.Array:
+        bytes_of = _Runs([shared.value], np.uint8)
+        size = len(bytes_of.lengths)
+        out = []
+        for ids in column:
+            ids = np.frombuffer(ids.as_py() or b"", "<u4")
+            out.append(bytes_of.of(ids[ids < size]).tobytes().decode("utf-8", "replace"))
+        return pa.array(out, pa.string())
+
+    return texts
+
+
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` with text decoded from ids (binary as in encode), special tokens included.
 
-    Every id is joined with its piece where the row is: the vocabulary is a fixed table of the tokenizer
-    file, so each task holds it. Bytes that aren't UTF-8 become U+FFFD. Null ids give an empty text;
-    ids outside the vocabulary give nothing. An own column text is replaced, any others are kept.
+    Bytes that aren't UTF-8 become U+FFFD. Null ids give an empty text; ids outside the vocabulary give
+    nothing. An own column text is replaced, any others are kept.
     """
     names = [c for c in rows.columns if c != "text"]
+    texts = decoder(rows.sparkSession, path)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pieces(path)
-        numbers = np.array(sorted(table), np.uint32)
-        joined = [table[i] for i in numbers.tolist()]
-        size = int(numbers.max()) + 1
-        bytes_of = _Runs([(numbers, np.array(list(map(len, joined)), np.uint32), np.frombuffer(b"".join(joined), np.uint8))], np.uint8)
-        parts = (batch.slice(i, 1000) for batch in batches for i in range(0, batch.num_rows, 1000))
-        for batch in parts:
-            texts = []
-            for ids in batch.column("ids"):
-                ids = np.frombuffer(ids.as_py() or b"", "<u4")
-                texts.append(bytes_of.of(ids[ids < size]).tobytes().decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string())], [*names, "text"])
+        for batch in (batch.slice(i, SLICE) for batch in batches for i in range(0, batch.num_rows, SLICE)):
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], texts(batch.column("ids"))], [*names, "text"])
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.select(*names).schema.fields)
     return rows.select(*names).mapInArrow(read, f"{kinds}text string")
+
+
+def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256: encoded, decoded and digested block by block."""
+    texts = decoder(docs.sparkSession, path)
+
+    def digests(table: pa.Table) -> pa.Table:
+        ids, decoded = table.column("ids"), texts(table.column("ids"))
+        return table.select(["doc_id", "n_tokens"]).append_column(
+            "ids_sha256", pa.array([sha256(x.as_py()).hexdigest() for x in ids], pa.string())
+        ).append_column("decoded_sha256", pa.array([sha256(x.as_py().encode()).hexdigest() for x in decoded], pa.string()))
+
+    return encode(docs, path, ["doc_id"], digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")

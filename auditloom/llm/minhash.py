@@ -68,7 +68,7 @@ def _bands(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_hash, bands, sketch of every row; no hash, bands or sketch without words."""
+    """doc_id, text_hash, n_shingles, set_hash, bands, sketch of every row; no hash, bands or sketch without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
@@ -86,13 +86,13 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 bands.append(_bands(low))
                 sketches.append((low & np.uint32(255)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "set_hash", "bands", "sketch"],
+                ["doc_id", "text_hash", "n_shingles", "set_hash", "bands", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        sign, "doc_id long, n_shingles long, set_hash binary, bands array<bigint>, sketch binary"
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(
+        sign, "doc_id long, text_hash long, n_shingles long, set_hash binary, bands array<bigint>, sketch binary"
     )
 
 
@@ -275,7 +275,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, min_percent: int = MIN_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, set_hash of every row of ``docs`` (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, text_hash (xxhash64) of every row of ``docs`` (doc_id, text).
 
     Documents whose shingle sets (A-Z lower-cased, ``width`` words, 64-bit hashes) share at least
     ``min_percent`` per cent of their union are linked; component_id is the smallest doc_id that links
@@ -312,7 +312,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, min_percent: int = MIN_
         "named",
     )
     linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return signed.select("doc_id", "n_shingles", "set_hash").join(named, F.col("set_hash") == F.col("of_hash"), "left").select(
+    return signed.select("doc_id", "text_hash", "n_shingles", "set_hash").join(named, F.col("set_hash") == F.col("of_hash"), "left").select(
         "doc_id", "n_shingles", linked.alias("component_id"),
-        F.coalesce(F.col("doc_id") == linked, F.lit(True)).alias("kept"), "set_hash",
+        F.coalesce(F.col("doc_id") == linked, F.lit(True)).alias("kept"), "text_hash",
     )

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import (
-    bpe, class_lm, html_text, language, line_dedup, minhash, mixing, quality, toxicity,
+    bpe, class_lm, fingerprints, html_text, language, line_dedup, minhash, mixing, quality, toxicity,
 )
 from auditloom.llm.common import crc32_mod, table
 
@@ -28,6 +28,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.clean(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -83,6 +87,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_quality_rules": op3_quality_rules,
+    "op4_fingerprints": op4_fingerprints,
     "op5_html_extraction": op5_html_extraction,
     "op6_class_lm": op6_class_lm,
     "op7_mixing": op7_mixing,

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.llm import bpe, class_lm, html_text, language, line_dedup, minhash, mixing, quality, queries, toxicity
+from auditloom.llm import bpe, class_lm, fingerprints, html_text, language, line_dedup, minhash, mixing, quality, queries, toxicity
 from auditloom.llm.words import WordHashes
 
 SF = "/root/testdata/sf0.001"
@@ -284,6 +284,92 @@ def test_mix_odd_rows(spark):
     assert [r["taken"] for r in empty] == [0, 0]
 
 
+# fingerprints
+
+
+def likeness(a, b):
+    a, b = ({x for x in t.split("\n") if WORD.search(x)} for t in (a, b))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def check_fingerprints(rows, texts):
+    import hashlib
+
+    order = sorted(texts)
+    by_text = defaultdict(set)
+    assert sorted(r["doc_id"] for r in rows) == order
+    for r in rows:
+        own = texts[r["doc_id"]] or ""
+        following = texts[order[(order.index(r["doc_id"]) + 1) % len(order)]] or ""
+        edited = own[: len(own) - len(own) // 2] + following[: len(own) // 2]
+        assert r["n_chars"] == len(own)
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert r["near_edited"] == pytest.approx(likeness(own, edited))
+        assert r["near_next"] == pytest.approx(likeness(own, following))
+        by_text[own].add(r["fingerprint"])
+        by_text[edited].add(r["edited_fingerprint"])
+    assert all(len(found) == 1 for found in by_text.values())
+
+
+def test_fingerprints_match_brute_force(spark):
+    check_fingerprints(queries.op4_fingerprints(spark, SF).collect(), texts_of(spark))
+
+
+def test_fingerprints_retry_and_odd_rows(spark):
+    lines = ["line %d of a long text" % i for i in range(900)]
+    texts = {1: None, 2: "", 3: " \n\t", 4: "one", 9: "\n".join(lines), 10: "\n".join(lines[:450] + lines[:3]), 11: "\n".join(lines[400:])}
+    rows = [(i, t, "s") for i, t in texts.items()] + [(4, "one", "s"), (None, "no id", "s")]
+    check_fingerprints(fingerprints.fingerprints(documents(spark, *rows)).collect(), texts)
+    one = fingerprints.fingerprints(documents(spark, (1, "a\nb", "s"))).collect()
+    assert one[0]["near_next"] == 1.0
+    assert fingerprints.fingerprints(documents(spark, (1, "a", "b")).limit(0)).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline_stages_keep_the_columns_of_documents(spark):
+    import corpus_pipeline
+    from auditloom.llm.common import table
+
+    docs = table(spark, SF, "documents")
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["language_id", "line_dedup", "near_dedup", "mixing", "bpe"]
+    texts = texts_of(spark)
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+        docs = corpus_pipeline.materialize(stage(spark, docs, SF), name)
+        if name == "bpe":
+            break
+        assert docs.columns == corpus_pipeline.COLUMNS
+        after = Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+        assert set(after) <= set(before)
+        if name == "language_id":
+            assert len(after) >= 0.99 * len(texts)
+        elif name == "line_dedup":
+            want = brute_lines(before)
+            assert {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()} == {
+                i: t for i, (t, _, gone) in want.items() if not gone or WORD.search(t)
+            }
+        elif name == "near_dedup":
+            groups = brute_components(before, 5, 80)
+            assert set(after) == {i for i, (_, home) in groups.items() if i == home}
+        elif name == "mixing":
+            assert max(after.values()) <= 2
+    for r in docs.select("doc_id", "decoded").collect():
+        assert r["decoded"] == before[r["doc_id"]]
+
+
+def test_pipeline_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    for rows, n in ((ODD, "odd"), (ODD[:0], "empty")):
+        docs = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], KINDS)
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.materialize(stage(spark, docs, SF), f"{n}-{name}")
+        assert docs.count() >= 0
+
+
 # pages
 
 PAGE = """<html lang=en><head><title>T</title><script>if (a<b) {"</p>"}</script></head><body>

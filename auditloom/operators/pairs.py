@@ -83,3 +83,17 @@ def count_all_pairs(df: DataFrame, group: str, item: str, repeats: DataFrame) ->
     return meetings.crossJoin(F.broadcast(again)).select(
         (F.col("n_meetings") - F.col("n_again")).alias("n_pairs")
     )
+
+
+def count_pairs_by_edges(df: DataFrame, group: str, item: str, edges: DataFrame, shared: str) -> DataFrame:
+    """As ``count_all_pairs``, from a table of the pairs that share two groups or more.
+
+    ``edges`` has one row per pair and the number of groups it shares, so no pair is looked for again.
+    """
+    sizes = distinct_members(df, group, item).groupBy("g").agg(F.count(F.lit(1)).alias("k"))
+    pairs_of = (F.col("k") * (F.col("k") - 1) / 2).cast("bigint")
+    meetings = sizes.agg(F.coalesce(F.sum(pairs_of), F.lit(0)).alias("n_meetings"))
+    again = edges.agg(F.coalesce(F.sum(F.col(shared) - 1), F.lit(0)).alias("n_again"))
+    return meetings.crossJoin(F.broadcast(again)).select(
+        (F.col("n_meetings") - F.col("n_again")).cast("bigint").alias("n_pairs")
+    )

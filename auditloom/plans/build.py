@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.operators.pairs import count_all_pairs, shared_groups
+from auditloom.operators.pairs import count_pairs_by_edges
 from auditloom.plans import enriched, events, marts, network, quality, staging
 from auditloom.plans import vocabulary as v
 from auditloom.sources.records_csv import read_records_csv
@@ -44,9 +44,7 @@ def build_warehouse(
     keep("staging", "work_author_institutions", staging.work_author_institutions(landed))
     citations = keep("staging", "work_citations", staging.work_citations(landed))
     keep("staging", "work_topics", staging.work_topics(landed))
-    tables["load_audit"] = publish(
-        staging.load_audit(raw, landed, loaded_at), root, "staging", "load_audit", mode="append"
-    )
+    keep("staging", "load_audit", staging.load_audit(raw, landed, loaded_at))
 
     facts = keep("intermediate", "records_enriched", enriched.enrich_records(
         records, reasons, countries, authors, institutions, subjects))
@@ -72,7 +70,7 @@ def build_warehouse(
     scores = keep("marts", "author_clusters", network.cluster_scores(network.cluster_profile(edges, membership)))
     keep("marts", "author_cluster_members", network.cluster_members(membership, scores, authorships))
     known = authorships.join(linked.select("work_id"), "work_id", "left_semi")
-    pairs = count_all_pairs(known, "work_id", "author_id", shared_groups(known, "work_id", "author_id"))
+    pairs = count_pairs_by_edges(known, "work_id", "author_id", edges, "n_shared_works")
     keep("marts", "author_cluster_validation", network.cluster_validation(scores, pairs))
     return tables
 

@@ -578,10 +578,10 @@ def cluster_scores(spark, sf):
 
 @register("cluster_validation", "SELECT * FROM cluster_validation")
 def cluster_validation(spark, sf):
-    scores = f.cluster_scores(spark, sf)
-    signed = f.authorships(spark, sf)
-    repeats = pairs.shared_groups(signed, "work_id", "author_id")
-    return network.cluster_validation(scores, pairs.count_all_pairs(signed, "work_id", "author_id", repeats))
+    n_pairs = pairs.count_pairs_by_edges(
+        f.authorships(spark, sf), "work_id", "author_id", f.edges(spark, sf), "n_shared_works"
+    )
+    return network.cluster_validation(f.cluster_scores(spark, sf), n_pairs)
 
 
 @register("cluster_members", "SELECT * FROM cluster_members")
@@ -699,9 +699,9 @@ def _check_tables(spark: SparkSession, sf: str, wanted: set[str]) -> dict[str, D
         return f.landed_works(spark, sf)
 
     def validation() -> DataFrame:
-        signed = f.authorships(spark, sf)
-        repeats = pairs.shared_groups(signed, "work_id", "author_id")
-        n_pairs = pairs.count_all_pairs(signed, "work_id", "author_id", repeats)
+        n_pairs = pairs.count_pairs_by_edges(
+            f.authorships(spark, sf), "work_id", "author_id", f.edges(spark, sf), "n_shared_works"
+        )
         return network.cluster_validation(f.cluster_scores(spark, sf), n_pairs)
 
     makers: dict[str, Callable[[], DataFrame]] = {
@@ -787,7 +787,10 @@ def load_audit(spark, sf):
     return staging.load_audit(f.raw_records(spark, sf), f.landed_works(spark, sf), f.LOADED_AT)
 
 
-_TABLES = ("customer", "documents", "events", "labels", "lineitem", "orders", "pages", "part", "supplier")
+_TABLES = (
+    "benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation",
+    "orders", "pages", "part", "region", "supplier",
+)
 
 
 @register("table_row_counts", " UNION ALL ".join(
@@ -807,6 +810,50 @@ def null_rates(spark, sf):
     return aggregates.null_rates(f.staged(spark, sf), _STAGED_TEXT)
 
 
+# The serving functions over the built tables, with their own defaults.
+
+@register("serving_trends", """
+    SELECT year, n_retractions, n_paper_mill, n_peer_review_fraud, n_ai_generated, paper_mill_share, median_latency_days,
+           ma3_retractions, yoy_change_pct, cumulative_retractions FROM trends WHERE year BETWEEN 1990 AND 2030""")
+def serving_trends(spark, sf):
+    return serving.trends(f.trends(spark, sf))
+
+
+@register("serving_risk_validation", "SELECT score_name, n_journals_total, auc, auc_grade FROM validation")
+def serving_risk_validation(spark, sf):
+    return serving.risk_validation(marts.risk_score_validation(f.risk(spark, sf)))
+
+
+@register("serving_feature_power", "SELECT * FROM features")
+def serving_feature_power(spark, sf):
+    return serving.feature_power(marts.feature_discriminative_power(f.risk(spark, sf)))
+
+
+@register("serving_risk_tiers", "SELECT * FROM tiers")
+def serving_risk_tiers(spark, sf):
+    return serving.risk_tier_performance(marts.risk_tier_performance(f.risk(spark, sf)))
+
+
+@register("serving_event_study", """
+    SELECT event_time, n_works, mean_citations, counterfactual_citations, citation_gap, citation_gap_pct, data_coverage,
+           is_post_retraction FROM study""")
+def serving_event_study(spark, sf):
+    return serving.event_study(f.study(spark, sf))
+
+
+@register("serving_risk_map", "SELECT journal, n_retractions, paper_mill_share, burst_ratio, risk_score, risk_tier FROM risk")
+def serving_risk_map(spark, sf):
+    return serving.risk_map(f.risk(spark, sf))
+
+
+@register("serving_cluster_members", """
+    SELECT author_name, orcid, author_id FROM cluster_members
+    WHERE cluster_id = (SELECT min(cluster_id) FROM cluster_members) ORDER BY author_name, author_id LIMIT 50""")
+def serving_cluster_members(spark, sf):
+    members = network.cluster_members(f.membership(spark, sf), f.cluster_scores(spark, sf), f.authorships(spark, sf))
+    return serving.cluster_members(members, members.agg(F.min("cluster_id")).first()[0])
+
+
 @register("date_profile", f"""
     SELECT min(d) AS first_date, max(d) AS last_date, count(*) FILTER (WHERE d IS NULL) AS n_unparsable
     FROM (SELECT {o.parsed('retracted')} AS d FROM raw_records)""")
@@ -879,6 +926,11 @@ def overview_metrics(spark, sf):
 
 
 _COLUMNS = {
+    "benchmark": "item_id bigint, text string",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
     "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
     "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",

@@ -6,9 +6,10 @@ driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.operators.lookup import lookup
 from auditloom.operators.persisting import materialize
 
 
@@ -26,7 +27,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     Alternates the large-star and small-star steps of Kiveris et al. (2014), which shorten long
     chains in a logarithmic number of rounds where passing labels along needs one per hop. The
     minimum per node is combined before the shuffle, so a node with very many neighbours is one
-    small row per task; the join that follows has one row per node on one side.
+    small row per task; the lookup that follows splits its rows.
     """
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter(F.col("x") != F.col("y"))
     current = materialize(
@@ -43,7 +44,7 @@ def _large_star(stars: DataFrame) -> DataFrame:
     both = stars.select("u", "v").unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
     smallest = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
     return (
-        both.filter(F.col("v") > F.col("u")).join(smallest, "u")
+        lookup(both.filter(F.col("v") > F.col("u")), smallest, "u")
         .select(F.col("v").alias("u"), F.col("low").alias("v"))
     )
 
@@ -52,7 +53,7 @@ def _small_star(stars: DataFrame) -> DataFrame:
     """Link a node and its smaller neighbours to the smallest of them."""
     smallest = stars.groupBy("u").agg(F.min("v").alias("low"))
     moved = (
-        stars.join(smallest, "u").filter(F.col("v") != F.col("low"))
+        lookup(stars, smallest, "u").filter(F.col("v") != F.col("low"))
         .select(F.col("v").alias("u"), F.col("low").alias("v"))
     )
     return moved.unionByName(smallest.select("u", F.col("low").alias("v"))).distinct()
@@ -74,116 +75,172 @@ def component_sizes(membership: DataFrame) -> DataFrame:
 def large_components(membership: DataFrame, min_size: int = 3) -> DataFrame:
     """Membership rows of components with at least ``min_size`` nodes."""
     big = component_sizes(membership).filter(F.col("n_nodes") >= min_size)
-    return membership.join(big, "component", "left_semi").select("node", "component")
+    return lookup(membership, big, "component").select("node", "component")
 
 
 def communities(
-    edges: DataFrame,
-    a: str = "a",
-    b: str = "b",
-    weight: str = "weight",
-    min_component: int = 3,
-    max_rounds: int = 2,
-    max_levels: int = 40,
-    settled_share: float = 0.01,
+    edges: DataFrame, a: str = "a", b: str = "b", weight: str = "weight", min_component: int = 3
 ) -> DataFrame:
     """(node, component, community): communities of high modularity inside each component.
 
-    Distributed local moving after Blondel et al. (2008). In a round, half of the nodes (by a
-    hash of the id) weigh all neighbouring communities and take the best; the halves alternate so
-    that two nodes cannot swap for ever. When fewer than ``settled_share`` of the nodes still move
-    (or after ``max_rounds``), communities become the nodes of the next level, where leftovers
-    move on. Weights are whole numbers and each gain is one product of them, so the result
-    does not depend on partitioning. A community is named by its smallest node.
+    Local moving and contraction after Blondel et al. (2008), in rounds of moves that cannot undo
+    each other (see ``_accepted``). The first sweep contracts after every round, which reaches few,
+    large nodes early; each later sweep starts again from single nodes, moves them to rest, contracts,
+    moves the communities to rest, and so on. It ends when a sweep moves nothing: neither a node
+    nor a whole community gains by moving. Every round raises the modularity of whole-number weights
+    strictly, so the loop ends by itself; there is no limit on rounds or levels. The result does not
+    depend on partitioning. A community is named by its smallest node.
     """
     weighted = edges.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.sum(weight).cast("bigint").alias("w"))
-    weighted = weighted.filter(F.col("x") != F.col("y"))
+    weighted = materialize(weighted.filter(F.col("x") != F.col("y")), "weighted")
     home = materialize(large_components(connected_components(weighted, "x", "y"), min_component), "home")
     links = weighted.select(F.col("x").alias("src"), F.col("y").alias("dst"), "w").unionByName(
         weighted.select(F.col("y").alias("src"), F.col("x").alias("dst"), "w")
     )
-    links = materialize(links.join(home, links["src"] == home["node"], "left_semi"), "links")
-    degrees = links.groupBy("src").agg(F.sum("w").alias("k"))
-    strength = home.join(degrees, F.col("node") == F.col("src")).select("node", "component", "k")
+    links = links.join(home, links["src"] == home["node"]).select("src", "dst", "w", "component")
+    strength = materialize(links.groupBy("src", "component").agg(F.sum("w").alias("k")), "strength")
     volume = strength.groupBy("component").agg(F.sum("k").alias("two_m"))
-    base = materialize(strength.join(volume, "component"), "nodes")
-    base_links = links
+    base = materialize(
+        lookup(strength, volume, "component").select(F.col("src").alias("node"), "component", "k", "two_m"), "nodes"
+    )
+    of_src = base.select(F.col("node").alias("src"), "k", "two_m")
+    base_links = materialize(links.select("src", "dst", "w").join(of_src, "src"), "links")
 
-    nodes = base.select("node", F.col("node").alias("comm"), "k", "two_m")
     member = base.select("node", F.col("node").alias("comm"))
-    for level in range(max_levels):
-        settled = _local_moving(nodes, links, level, max_rounds, settled_share)
-        n_before, n_after = settled.agg(F.count("node"), F.count_distinct("comm")).first()
-        if n_before == n_after:
-            break
-        step = settled.select(F.col("node").alias("comm"), F.col("comm").alias("next"))
-        member = materialize(member.join(step, "comm").select("node", F.col("next").alias("comm")), "member")
-        of_src = settled.select(F.col("node").alias("src"), F.col("comm").alias("c_src"))
-        of_dst = settled.select(F.col("node").alias("dst"), F.col("comm").alias("c_dst"))
-        links = materialize(
-            links.join(of_src, "src").join(of_dst, "dst")
-            .groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst"))
-            .agg(F.sum("w").alias("w")),
-            "links",
-        )
-        nodes = materialize(
-            settled.groupBy("comm").agg(F.sum("k").alias("k"), F.first("two_m").alias("two_m"))
-            .select(F.col("comm").alias("node"), "comm", "k", "two_m"),
-            "nodes",
-        )
-    return _name_communities(base, base_links, member)
+    first = True
+    while True:
+        settled, changed = _local_moving(base.join(member, "node"), base_links, once=first)
+        member = settled.select("node", "comm")
+        nodes, links, moved = settled, base_links, changed
+        while moved:
+            nodes, links = _contracted(nodes, links)
+            nodes, moved = _local_moving(nodes, links, once=first)
+            if moved:
+                step = nodes.select(F.col("node").alias("comm"), F.col("comm").alias("next"))
+                member = materialize(
+                    member.join(step, "comm").select("node", F.col("next").alias("comm")), "member"
+                )
+        if not changed:
+            return _name_communities(base, base_links, member)
+        first = False
 
 
-def _local_moving(
-    nodes: DataFrame, links: DataFrame, level: int, max_rounds: int, settled_share: float
-) -> DataFrame:
+def _contracted(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Communities as the nodes of the next level; a community's inner links become a loop."""
+    next_nodes = materialize(
+        nodes.groupBy("comm").agg(F.sum("k").alias("k"), F.first("two_m").alias("two_m"))
+        .select(F.col("comm").alias("node"), "comm", "k", "two_m"),
+        "nodes",
+    )
+    of_src = nodes.select(F.col("node").alias("src"), F.col("comm").alias("c_src"))
+    of_dst = nodes.select(F.col("node").alias("dst"), F.col("comm").alias("c_dst"))
+    between = (
+        links.select("src", "dst", "w").join(of_src, "src").join(of_dst, "dst")
+        .groupBy(F.col("c_src").alias("src"), F.col("c_dst").alias("dst")).agg(F.sum("w").alias("w"))
+    )
+    facts = next_nodes.select(F.col("node").alias("src"), "k", "two_m")
+    return next_nodes, materialize(lookup(facts, between, "src").select("src", "dst", "w", "k", "two_m"), "links")
+
+
+def _local_moving(nodes: DataFrame, links: DataFrame, once: bool) -> tuple[DataFrame, bool]:
+    """Rounds of moves until none gains, or a single round; and whether anything moved.
+
+    nodes: (node, comm, k, two_m). links: (src, dst, w) with k and two_m of src, both directions.
+    """
     outside = links.filter(F.col("src") != F.col("dst"))
-    calm = 0
-    for turn in range(max_rounds):
-        totals = nodes.groupBy("comm").agg(F.sum("k").alias("tot"))
-        placed = nodes.join(totals, "comm")
-        of_dst = placed.select(F.col("node").alias("dst"), F.col("comm").alias("to"), F.col("tot").alias("tot_to"))
-        pull = (
-            outside.join(of_dst, "dst").groupBy("src", "to")
-            .agg(F.sum("w").alias("w"), F.first("tot_to").alias("tot_to"))
-        )
-        here = F.col("to") == F.col("comm")
-        two_m, k = F.col("two_m").cast("double"), F.col("k").cast("double")
-        gain = two_m * F.col("w") - k * F.col("tot_to")
-        choice = (
-            pull.join(placed, F.col("src") == F.col("node"))
-            .groupBy("node")
-            .agg(
-                *[F.first(c).alias(c) for c in ("comm", "k", "two_m", "tot")],
-                F.max(F.when(here, F.col("w"))).alias("w_own"),
-                F.min(F.when(~here, F.struct((-gain).alias("loss"), F.col("to")))).alias("best"),
-            )
-        )
-        stay = two_m * F.coalesce("w_own", F.lit(0)) - k * (F.col("tot") - F.col("k"))
-        active = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(2)) == turn % 2
-        moves = F.coalesce(active & (-F.col("best.loss") > stay), F.lit(False))
-        moved = choice.select(
-            "node", F.when(moves, F.col("best.to")).otherwise(F.col("comm")).alias("comm"),
-            "k", "two_m", moves.alias("moved"),
+    nodes = materialize(nodes.select("node", "comm", "k", "two_m"), "moving")
+    changed = False
+    while True:
+        wanted = materialize(_wanted(nodes, outside), "wanted")
+        if wanted.isEmpty():
+            return nodes, changed
+        moves = _accepted(wanted).select("node", F.col("to").alias("_to"))
+        nodes = materialize(
+            nodes.join(moves, "node", "left").select("node", F.coalesce("_to", "comm").alias("comm"), "k", "two_m"),
+            "moving",
         )
-        tally = Observation()
-        counted = moved.observe(tally, F.count(F.lit(1)).alias("nodes"), F.count_if(F.col("moved")).alias("moved"))
-        # A node without links to others (a whole component contracted to one node) stays as it is.
-        alone = nodes.join(outside.select("src"), F.col("node") == F.col("src"), "left_anti")
-        nodes = materialize(counted.drop("moved").unionByName(alone.select("node", "comm", "k", "two_m")), "moving")
-        seen = tally.get
-        calm = calm + 1 if seen["moved"] <= settled_share * seen["nodes"] else 0
-        if calm == 2:
-            break
-    return nodes
+        changed = True
+        if once:
+            return nodes, changed
+
+
+def _wide(column: str) -> Column:
+    """Whole numbers whose products must not overflow."""
+    return F.col(column).cast("decimal(19,0)")
+
+
+def _wanted(nodes: DataFrame, outside: DataFrame) -> DataFrame:
+    """(node, k, from, to, gain): the best move of each node that gains by moving.
+
+    A node's own community comes in as a row of weight 0, so all that a node needs is in rows
+    keyed by the node, and they are combined before the shuffle however many neighbours it has.
+    """
+    totals = nodes.groupBy("comm").agg(F.sum("k").alias("tot")).withColumnRenamed("comm", "to")
+    of_dst = nodes.select(F.col("node").alias("dst"), F.col("comm").alias("to"))
+    near = outside.join(of_dst, "dst").select("src", "to", "w", "k", "two_m", F.lit(False).alias("own"))
+    own = nodes.select(
+        F.col("node").alias("src"), F.col("comm").alias("to"), F.lit(0).cast("bigint").alias("w"), "k", "two_m",
+        F.lit(True).alias("own"),
+    )
+    pull = near.unionByName(own).groupBy("src", "to").agg(
+        F.sum("w").alias("w"), F.bool_or("own").alias("own"), F.first("k").alias("k"), F.first("two_m").alias("two_m")
+    )
+    others = F.when(F.col("own"), _wide("tot") - _wide("k")).otherwise(_wide("tot")).cast("decimal(19,0)")
+    valued = lookup(pull, totals, "to").withColumn("value", _wide("two_m") * _wide("w") - _wide("k") * others)
+    best = valued.groupBy("src").agg(
+        F.first("k").alias("k"),
+        F.min(F.when(F.col("own"), F.struct("value", "to"))).alias("here"),
+        F.min(F.when(~F.col("own"), F.struct((-F.col("value")).alias("loss"), "to"))).alias("best"),
+    )
+    gain = -F.col("best.loss") - F.col("here.value")
+    return best.filter(gain > 0).select(
+        F.col("src").alias("node"), "k", F.col("here.to").alias("from"), F.col("best.to").alias("to"),
+        gain.alias("gain"),
+    )
+
+
+def _accepted(wanted: DataFrame) -> DataFrame:
+    """Moves that raise modularity together.
+
+    The best move touching a community (by gain, then node) says whether the community gives or takes
+    nodes in this round; moves against that wait. A move that is the best one for both of its
+    communities is taken. Two movers that leave or enter the same community cost at most the
+    product of their strengths. A further move is taken if its gain exceeds its half of that cost
+    to all other movers there and the whole of it to the best one. So the gains left over add up
+    to a rise, and the best move of a component is always taken.
+    """
+    touched = wanted.select(
+        "node", "gain", "k",
+        F.inline(F.array(
+            F.struct(F.col("from").alias("comm"), F.lit(False).alias("takes")),
+            F.struct(F.col("to").alias("comm"), F.lit(True).alias("takes")),
+        )),
+    )
+    first = F.min(F.struct((-F.col("gain")).alias("loss"), "node", "takes", "k"))
+    sides = touched.groupBy("comm").agg(
+        first.alias("top"),
+        F.sum(F.when(F.col("takes"), F.col("k")).otherwise(0)).alias("k_in"),
+        F.sum(F.when(F.col("takes"), F.lit(0)).otherwise(F.col("k"))).alias("k_out"),
+    )
+    givers = sides.filter(~F.col("top.takes")).select(
+        F.col("comm").alias("from"), F.col("top.node").alias("top_from"),
+        (F.col("k_out") + F.col("top.k")).alias("k_from"),
+    )
+    takers = sides.filter("top.takes").select(
+        F.col("comm").alias("to"), F.col("top.node").alias("top_to"), (F.col("k_in") + F.col("top.k")).alias("k_to"),
+    )
+    met = lookup(lookup(wanted, givers, "from"), takers, "to")
+    leading = (F.col("node") == F.col("top_from")) & (F.col("node") == F.col("top_to"))
+    crowd = (_wide("k_from") + _wide("k_to") - 2 * _wide("k")).cast("decimal(19,0)")
+    return met.filter(leading | (2 * F.col("gain") > _wide("k") * crowd))
 
 
 def _name_communities(base: DataFrame, links: DataFrame, member: DataFrame) -> DataFrame:
     """Final labels; a component whose split scores below no split at all stays whole."""
     names = member.groupBy("comm").agg(F.min("node").alias("community"))
-    named = materialize(member.join(names, "comm").select("node", "community"), "named")
+    named = materialize(lookup(member, names, "comm").select("node", "community"), "named")
     scores = modularity(base, links, named)
-    labelled = base.select("node", "component").join(named, "node").join(scores, "component")
+    labelled = lookup(base.select("node", "component").join(named, "node"), scores, "component")
     return labelled.select(
         "node", "component",
         F.when(F.col("modularity") < 0, F.col("component")).otherwise(F.col("community")).alias("community"),
@@ -195,6 +252,7 @@ def modularity(nodes: DataFrame, links: DataFrame, membership: DataFrame) -> Dat
 
     nodes: (node, component, k, two_m); links: both directions of every edge (src, dst, w).
     """
+    links = links.select("src", "dst", "w")
     of_src = membership.select(F.col("node").alias("src"), F.col("community").alias("c"))
     of_dst = membership.select(F.col("node").alias("dst"), F.col("community").alias("c_dst"))
     inner = (

@@ -22,7 +22,7 @@ from auditloom.functions import (
 )
 from auditloom.operators.aggregates import join_median, peak_per_group
 from auditloom.operators.generators import cross_offsets
-from auditloom.operators.pairs import shared_groups
+from auditloom.operators.pairs import TILE, meetings
 from auditloom.plans import vocabulary as v
 
 
@@ -262,7 +262,7 @@ def coauthor_edges(
     authorships: DataFrame,
     works: DataFrame,
     min_shared: int = v.MIN_SHARED_WORKS,
-    light_size: int = 256,
+    tile: int = TILE,
 ) -> DataFrame:
     """Author pairs with at least ``min_shared`` common works and what those works have in common.
 
@@ -271,19 +271,19 @@ def coauthor_edges(
     facts = works.select(
         "work_id", "is_paper_mill", "record_journal", "field", "record_first_country", "publication_year"
     )
-    known = authorships.join(facts.select("work_id"), "work_id", "left_semi")
-    shared = shared_groups(known, "work_id", "author_id", min_shared, light_size)
+    met = meetings(authorships, "work_id", "author_id", min_shared, tile, facts)
     span = F.col("last_year") - F.col("first_year")
-    edges = shared.join(facts, "work_id").groupBy(F.col("a").alias("author_a"), F.col("b").alias("author_b")).agg(
+    # A pair shares few works, so its sets are small; distinct counts would multiply every meeting.
+    edges = met.groupBy(F.col("a").alias("author_a"), F.col("b").alias("author_b")).agg(
         F.count(F.lit(1)).alias("n_shared_works"),
         count_where(F.col("is_paper_mill")).alias("n_shared_paper_mill"),
         round_to(share_where(F.col("is_paper_mill")), 4).alias("shared_paper_mill_share"),
-        F.count_distinct("record_journal").alias("n_journals"),
-        F.count_distinct("field").alias("n_fields"),
-        F.count_distinct("record_first_country").alias("n_countries"),
+        F.size(F.collect_set("record_journal")).cast("bigint").alias("n_journals"),
+        F.size(F.collect_set("field")).cast("bigint").alias("n_fields"),
+        F.size(F.collect_set("record_first_country")).cast("bigint").alias("n_countries"),
         F.min("publication_year").alias("first_year"),
         F.max("publication_year").alias("last_year"),
-    )
+    ).filter(F.col("n_shared_works") >= min_shared)
     return edges.select(
         "*",
         span.alias("year_span"),

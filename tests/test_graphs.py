@@ -5,8 +5,10 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from auditloom.operators import graph, pairs
+from auditloom.operators.lookup import lookup
 
 
 def memberships():
@@ -26,12 +28,12 @@ def brute_force(rows, min_shared):
     return {p: n for p, n in count.items() if n >= min_shared}, len(count)
 
 
-@pytest.mark.parametrize("light_size", [2, 5, 25, 1000])
+@pytest.mark.parametrize("tile", [2, 5, 25, 1000])
 @pytest.mark.parametrize("min_shared", [2, 3])
-def test_pairs_match_brute_force_at_every_threshold(spark, light_size, min_shared):
+def test_pairs_match_brute_force_at_every_threshold(spark, tile, min_shared):
     rows = memberships()
     df = spark.createDataFrame(rows, "g int, i int")
-    shared = pairs.shared_groups(df, "g", "i", min_shared, light_size).collect()
+    shared = pairs.shared_groups(df, "g", "i", min_shared, tile).collect()
     assert len(shared) == len(set(map(tuple, shared)))
     assert Counter((r["a"], r["b"]) for r in shared) == brute_force(rows, min_shared)[0]
 
@@ -43,6 +45,50 @@ def test_all_pairs_are_counted_without_listing_them(spark):
     assert pairs.count_all_pairs(df, "g", "i", repeats).first()["n_pairs"] == brute_force(rows, 2)[1]
 
 
+def test_groups_shared_by_all_cost_no_more_than_listing_them(spark):
+    rows = [(g, i) for g in range(40) for i in range(40)]
+    df = spark.createDataFrame(rows, "g int, i int")
+    kept = df.withColumn("size", F.lit(40))
+    assert not pairs._lookup_is_smaller(kept, 25)
+    assert pairs.meetings(df, "g", "i", 2, 25).count() == 40 * 40 * 39 // 2
+
+
+@pytest.mark.parametrize("min_shared", [2, 3])
+def test_large_groups_are_looked_up_where_that_is_less(spark, min_shared):
+    """Two groups of 300 with few items in common: looking up is chosen, and exact."""
+    rows = [(0, i) for i in range(300)] + [(1, i) for i in range(290, 590)] + [(g, g) for g in range(2, 590)]
+    rows += [(1000 + i, i) for i in range(590)] + [(1000 + i, i + 1) for i in range(0, 589, 2)]
+    df = spark.createDataFrame(rows, "g int, i int")
+    shared = Counter((r["a"], r["b"]) for r in pairs.shared_groups(df, "g", "i", min_shared, 50).collect())
+    assert shared == brute_force(rows, min_shared)[0]
+    sizes = df.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+    assert pairs._lookup_is_smaller(df.join(sizes, "g"), 50)
+
+
+def test_a_hub_is_split_over_tasks(spark):
+    """The rows of one key are read by several tasks once they exceed the threshold of adaptive execution."""
+    low = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    }
+    before = {k: spark.conf.get(k, None) for k in low}
+    try:
+        for k, value in low.items():
+            spark.conf.set(k, value)
+        leaves = spark.range(1, 200_001, 1, 16).select(F.col("id").alias("u"), F.lit(0).cast("bigint").alias("v"))
+        hub = leaves.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        smallest = hub.groupBy("u").agg(F.min("v").alias("low"))
+        found = lookup(hub, smallest, "u").withColumn("task", F.spark_partition_id())
+        rows = [r["count"] for r in found.groupBy("task").count().collect()]
+        assert sum(rows) == 200_000 and max(rows) < 100_000
+        assert graph.connected_components(leaves, "u", "v").filter("component = 0").count() == 200_001
+    finally:
+        for k, value in before.items():
+            spark.conf.unset(k) if value is None else spark.conf.set(k, value)
+
+
 def test_pairs_that_meet_once_cannot_be_listed(spark):
     with pytest.raises(ValueError):
         pairs.shared_groups(spark.createDataFrame([(1, 1)], "g int, i int"), "g", "i", 1)

@@ -113,8 +113,8 @@ def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return result
 
 
-def keep_and_count(df: DataFrame, keep: Column) -> DataFrame:
-    """Rows read, kept and dropped by a filter, in one pass."""
+def keep_and_count(df: DataFrame, keep: Column, *more: Column) -> DataFrame:
+    """Rows read, kept and dropped by a filter, and ``more`` aggregates, in one pass."""
     return df.agg(
-        F.count(F.lit(1)).alias("rows_read"), count_where(keep).alias("rows_kept")
+        F.count(F.lit(1)).alias("rows_read"), count_where(keep).alias("rows_kept"), *more
     ).withColumn("rows_dropped", F.col("rows_read") - F.col("rows_kept"))

@@ -247,6 +247,21 @@ def _name_communities(base: DataFrame, links: DataFrame, member: DataFrame) -> D
     )
 
 
+def community_modularity(
+    edges: DataFrame, labels: DataFrame, a: str = "a", b: str = "b", weight: str = "weight"
+) -> DataFrame:
+    """(component, two_m, modularity) of a labelling (node, component, community) of a weighted graph."""
+    ends = edges.filter(F.col(a) != F.col(b)).select(F.col(a).alias("x"), F.col(b).alias("y"), F.col(weight).alias("w"))
+    links = ends.select(F.col("x").alias("src"), F.col("y").alias("dst"), "w").unionByName(
+        ends.select(F.col("y").alias("src"), F.col("x").alias("dst"), "w")
+    )
+    degrees = links.groupBy(F.col("src").alias("node")).agg(F.sum("w").alias("k"))
+    strength = materialize(labels.select("node", "component").join(degrees, "node"), "strength")
+    volume = strength.groupBy("component").agg(F.sum("k").alias("two_m"))
+    nodes = lookup(strength, volume, "component")
+    return volume.join(modularity(nodes, links, labels.select("node", "community")), "component")
+
+
 def modularity(nodes: DataFrame, links: DataFrame, membership: DataFrame) -> DataFrame:
     """Modularity of a labelling in each component.
 

@@ -2,8 +2,8 @@
 
 A check counts violations. Checks that look at one table one row at a time are aggregate
 expressions, and all of those over a table run in one pass; checks that compare tables or groups
-build a one-row frame. A check that cannot be analysed (missing table or column) is reported as
-errored, never as passed.
+build a one-row frame. A check that cannot be analysed (missing table or column) or fails while it runs
+is reported as errored, never as passed, and takes no other check with it.
 """
 
 from __future__ import annotations
@@ -12,11 +12,13 @@ import datetime as dt
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import count_where, share_where, trim_spaces
+from auditloom.operators.persisting import materialize
 from auditloom.plans import vocabulary as v
 
 Tables = Mapping[str, DataFrame]
@@ -252,7 +254,7 @@ def run_checks(tables: Tables, checks: Iterable[Check]) -> DataFrame:
     spark = next(iter(tables.values())).sparkSession
     errors: dict[str, str] = {}
     by_table: dict[str, list[tuple[Check, Column]]] = {}
-    frames: list[DataFrame] = []
+    frames: list[tuple[Check, DataFrame]] = []
     for check in checks:
         absent = [t for t in check.tables if t not in tables]
         if absent:
@@ -266,29 +268,30 @@ def run_checks(tables: Tables, checks: Iterable[Check]) -> DataFrame:
                 by_table.setdefault(check.tables[0], []).append((check, measure))
             else:
                 counted = check.measure(*inputs)
-                frames.append(counted.select(
+                frames.append((check, counted.select(
                     F.lit(check.name).alias("check_name"), F.col("violations").cast("bigint").alias("violations")
-                ))
+                )))
         except AnalysisException as problem:
             errors[check.name] = f"{type(problem).__name__}: {str(problem).splitlines()[0]}"
+    alone = dict(frames)
+    together = [frame for _, frame in frames]
     for table, measures in by_table.items():
         one_row = tables[table].agg(*[m.cast("bigint").alias(f"_{i}") for i, (_, m) in enumerate(measures)])
         rows = [
             F.struct(F.lit(check.name).alias("check_name"), F.col(f"_{i}").alias("violations"))
             for i, (check, _) in enumerate(measures)
         ]
-        frames.append(one_row.select(F.inline(F.array(*rows))))
+        together.append(one_row.select(F.inline(F.array(*rows))))
+        for check, m in measures:
+            alone[check] = tables[table].agg(m.cast("bigint").alias("violations")).select(
+                F.lit(check.name).alias("check_name"), "violations"
+            )
+    counted = _counted(spark, together, alone, errors)
 
     described = spark.createDataFrame(
         [(c.name, c.severity, c.rationale, errors.get(c.name)) for c in checks],
         "check_name string, severity string, rationale string, execution_error string",
     )
-    if frames:
-        counted = frames[0]
-        for frame in frames[1:]:
-            counted = counted.unionByName(frame)
-    else:
-        counted = spark.createDataFrame([], "check_name string, violations bigint")
     broken = F.col("execution_error").isNotNull()
     failed = ~broken & (F.col("violations") > 0)
     is_error = F.col("severity") == "error"
@@ -302,6 +305,28 @@ def run_checks(tables: Tables, checks: Iterable[Check]) -> DataFrame:
     )
 
 
+def _counted(
+    spark: SparkSession, together: list[DataFrame], alone: Mapping[Check, DataFrame], errors: dict[str, str]
+) -> DataFrame:
+    """The counts of all checks in one job; if that fails, each by itself, so that only the broken ones err."""
+    def united(frames: list[DataFrame]) -> DataFrame:
+        rows = spark.createDataFrame([], "check_name string, violations bigint")
+        for frame in frames:
+            rows = rows.unionByName(frame)
+        return rows
+
+    try:
+        return materialize(united(together), "checks")
+    except (PySparkException, Py4JJavaError):
+        done = []
+        for check, frame in alone.items():
+            try:
+                done.append(materialize(frame, "check"))
+            except (PySparkException, Py4JJavaError) as problem:
+                errors[check.name] = f"{type(problem).__name__}: {str(problem).splitlines()[0]}"
+        return united(done)
+
+
 def summarize(report: DataFrame) -> DataFrame:
     """Five counters in one row."""
     def having(status: str) -> Column:

@@ -201,12 +201,14 @@ def work_topics(landed: DataFrame) -> DataFrame:
 
 
 def load_audit(raw: DataFrame, landed: DataFrame, loaded_at: dt.datetime) -> DataFrame:
-    """Rows read, kept and dropped per source, one pass over each."""
+    """Rows read, kept and dropped per source and where they came from (the first file), one pass over each."""
     parts = [
-        keep_and_count(raw, has_record_id(raw)).select(
+        keep_and_count(raw, has_record_id(raw), F.min("source_file").alias("source_file")).select(
             F.lit("records").alias("dataset"), "*", F.lit(v.BLANK_ROW_REASON).alias("drop_reason")
         ),
-        keep_and_count(landed, landed["w"]["id"].isNotNull()).select(
+        keep_and_count(
+            landed, landed["w"]["id"].isNotNull(), F.min("source_file").alias("source_file")
+        ).select(
             F.lit("works").alias("dataset"), "*", F.lit(v.NULL_KEY_REASON).alias("drop_reason")
         ),
     ]

@@ -27,12 +27,23 @@ def stream_work_pages(spark: SparkSession, folder: str, one_page_per_file: bool
     return pages.select(F.explode("results").alias("w"), F.col("_metadata.file_path").alias("source_file"))
 
 
-def land_new_files(stream: DataFrame, target: str, checkpoint: str) -> None:
+def land_new_files(
+    stream: DataFrame, target: str, checkpoint: str, key: str | None = None,
+    event_time: str | None = None, keep_for: str | None = None,
+) -> None:
     """Process everything new, then stop. The checkpoint is the resume state.
 
+    With ``key``, a row whose key has landed before, in this or an earlier run, is left out. The keys seen
+    are streaming state, kept with the checkpoint and split by key over the tasks. With ``event_time`` and
+    ``keep_for`` (an interval) keys are forgotten once they are older than that; without, never.
+
     The file sink commits each batch in its own log, so a run that died half way is repeated
     without doubling rows, and files seen by an earlier run are not read again.
     """
+    if key and event_time and keep_for:
+        stream = stream.withWatermark(event_time, keep_for).dropDuplicatesWithinWatermark([key])
+    elif key:
+        stream = stream.dropDuplicates([key])
     query = (
         stream.writeStream.format("parquet").option("path", target)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -93,3 +93,11 @@ def test_each_shape_finds_a_planted_violation(spark):
     silent = {name for name, row in found.items() if row["violations"] == 0}
     assert all(row["execution_error"] is None for row in found.values())
     assert silent == {"records fresh"}
+
+
+def test_an_error_at_run_time_marks_one_check(spark, t):
+    broken = q.row_check("broken", "t", lambda: F.max(F.raise_error(F.lit("no such value")).cast("bigint")))
+    fine = q.row_check("fine", "t", lambda: F.count(F.lit(1)))
+    found = run(spark, {"t": t}, [broken, fine])
+    assert found["broken"]["status"] == "errored" and found["broken"]["execution_error"]
+    assert found["fine"]["violations"] == t.count() and found["fine"]["execution_error"] is None

@@ -10,7 +10,9 @@ from auditloom.llm import (
     bpe, class_lm, fingerprints, html_text, language, line_dedup, minhash, mixing, quality, toxicity,
 )
 from auditloom.llm.common import crc32_mod, table
+from auditloom.llm.oracles import ORACLES
 
+__all__ = ["ORACLES", "QUERIES"]
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -96,5 +98,3 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "page_languages": page_languages,
 }
-
-ORACLES: dict[str, str] = {}

@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +59,11 @@ def labelled_sample(docs: DataFrame, label: str, per_language: int = ROWS_PER_LA
 
 
 def trigram_model(sample: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order and the smoothed log probability of every trigram in each."""
+    """Languages in order and the smoothed log probability of every trigram in each.
+
+    Counts are summed by language and trigram before they reach the driver: GRAMS * MAX_LANGUAGES numbers
+    at most, however many tasks counted.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -67,15 +72,18 @@ def trigram_model(sample: DataFrame) -> tuple[list[str], np.ndarray]:
                 counts = np.bincount(trigrams(text), minlength=GRAMS)
                 totals[label] = totals.get(label, 0) + counts
         for label, counts in totals.items():
+            found = np.union1d([0], np.flatnonzero(counts))  # a language without trigrams has a row as well
             yield pa.RecordBatch.from_pydict(
-                {"label": [label], "counts": pa.array([counts], pa.list_(pa.int64()))}
+                {"label": [label] * len(found), "gram": pa.array(found, pa.int32()), "n": pa.array(counts[found], pa.int64())}
             )
 
-    rows = sample.mapInArrow(count, "label string, counts array<bigint>").toPandas()
-    labels = sorted(set(rows["label"]))
+    found = sample.mapInArrow(count, "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    rows = found.toArrow()
+    labels = sorted(pc.unique(rows["label"]).to_pylist())
     if not labels:
         return [], np.zeros((GRAMS, 0), dtype=np.float32)
-    counts = np.stack([np.sum([np.asarray(c) for c in rows.loc[rows["label"] == x, "counts"]], axis=0) for x in labels], 1)
+    counts = np.zeros((GRAMS, len(labels)), dtype=np.int64)
+    counts[rows["gram"].to_numpy(), pc.index_in(rows["label"], pa.array(labels, rows["label"].type)).to_numpy()] = rows["n"].to_numpy()
     return labels, np.log((counts + 0.5) / (counts + 0.5).sum(0)).astype(np.float32)
 
 

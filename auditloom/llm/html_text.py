@@ -4,8 +4,8 @@ Markup is stripped so that every block of text is a line; a stripped menu, heade
 gap of ``WINDOW`` empty lines, which no window bridges, any other stripped element (adverts, forms,
 scripts, ...), which may stand within the text, one empty line. The text lengths of ``WINDOW`` following lines are summed at
 every line. Text surges where the sums leave zero and dives where they return to it; the text from
-the first surge that reaches the threshold to the last dive is kept. Lines made of links, and lines
-outside the page's article when it marks one, add no length.
+the first surge that reaches the threshold to the last dive is kept. Lines made of links add no length;
+when the page marks an article, lines outside it count one in ``OUTSIDE`` of their characters.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 
 WINDOW = 3
 THRESHOLD = 80
+#: Characters that count as one in lines outside the article of a page that marks one.
+OUTSIDE = 4
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -83,8 +85,8 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            counts = (main or not has_main) and 2 * linked < len(text)
-            out.append((text, len(text) if counts else 0))
+            length = len(text) if main or not has_main else -(-len(text) // OUTSIDE)
+            out.append((text, length if 2 * linked < len(text) else 0))
         linked = 0
 
     while at < len(page):
@@ -145,8 +147,7 @@ def main_text(page: str) -> str:
         elif not total and start is not None:
             regions.append((start, i))
             start = None
-    marked = re.search(r"<(?:article|main)\b", page, re.I) is not None
-    strong = [(a, b) for a, b in regions if marked or max(sums[a:b]) >= min(THRESHOLD, most)]
+    strong = [(a, b) for a, b in regions if max(sums[a:b]) >= min(THRESHOLD, most)]
     kept = lines[strong[0][0] : strong[-1][1]]
     return "\n".join(text for text, length in kept if length)
 

@@ -389,6 +389,14 @@ def test_main_text():
     assert html_text.main_text("just text") == "just text"
 
 
+def test_sums_choose_the_text_of_marked_pages():
+    long = "A paragraph that is long enough to be the text of its page, by itself. " * 6
+    apart = f"<article><p>Weak.</p><nav>Menu</nav><p>{long}</p></article>"
+    assert html_text.main_text(apart) == html_text.main_text(apart.replace("article", "div")) == long.strip()
+    beside = f"<main><p>Teaser.</p></main><nav>Menu</nav><div><p>{long}</p></div><nav>Menu</nav><p>Small print.</p>"
+    assert html_text.main_text(beside) == long.strip()
+
+
 def test_pages_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 5), (None, None, "<p>x", 5), (2, "u", "", 5), (2, "u", "", 5)], "page_id long, url string, html string, text long")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()) == [

@@ -4,8 +4,8 @@ Markup is stripped so that every block of text is a line; a stripped menu, heade
 gap of ``WINDOW`` empty lines, which no window bridges, any other stripped element (adverts, forms,
 scripts, ...), which may stand within the text, one empty line. The text lengths of ``WINDOW`` following lines are summed at
 every line. Text surges where the sums leave zero and dives where they return to it; the text from
-the first surge that reaches the threshold to the last dive is kept. Lines made of links add no length;
-when the page marks an article, lines outside it count one in ``OUTSIDE`` of their characters.
+the first surge that reaches the threshold to the last dive is kept. Lines made of links add no length,
+but stay where they stand between lines that are kept; when the page marks an article, lines outside it count one in ``OUTSIDE`` of their characters.
 """
 
 from __future__ import annotations
@@ -72,8 +72,9 @@ def is_chrome(tag: str, attributes: str, in_main: bool) -> bool:
 
 def lines_of(page: str) -> list[tuple[str, int]]:
     """(text, length that counts) of every line, with the gaps that stripped elements leave."""
-    has_main = re.search(r"<(?:article|main)\b", page, re.I) is not None
     out: list[tuple[str, int]] = []
+    outside: list[int] = []  # the lines outside articles, which weigh less once one has opened
+    has_main = False
     parts: list[str] = []
     linked = 0  # characters of the open line inside links
     main = link = 0
@@ -85,8 +86,9 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            length = len(text) if main or not has_main else -(-len(text) // OUTSIDE)
-            out.append((text, length if 2 * linked < len(text) else 0))
+            if not main:
+                outside.append(len(out))
+            out.append((text, len(text) if 2 * linked < len(text) else 0))
         linked = 0
 
     while at < len(page):
@@ -113,6 +115,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if tag in BLOCKS:
             close_line()
         if tag in MAIN:
+            has_main |= not ends
             main = max(0, main + (-1 if ends else 1))
         elif tag == "a":
             link = 0 if ends else 1
@@ -130,6 +133,10 @@ def lines_of(page: str) -> list[tuple[str, int]]:
             out += [("", 0)] * (WINDOW if tag in FRAME else 1)
             skipped, depth = tag, 1
     close_line()
+    if has_main:
+        for i in outside:
+            text, length = out[i]
+            out[i] = text, -(-length // OUTSIDE)
     return out
 
 
@@ -148,8 +155,8 @@ def main_text(page: str) -> str:
             regions.append((start, i))
             start = None
     strong = [(a, b) for a, b in regions if max(sums[a:b]) >= min(THRESHOLD, most)]
-    kept = lines[strong[0][0] : strong[-1][1]]
-    return "\n".join(text for text, length in kept if length)
+    counted = [i for i in range(strong[0][0], strong[-1][1]) if lines[i][1]]
+    return "\n".join(text for text, _ in lines[counted[0] : counted[-1] + 1] if text)
 
 
 def extract(pages: DataFrame) -> DataFrame:

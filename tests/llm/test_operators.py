@@ -397,6 +397,15 @@ def test_sums_choose_the_text_of_marked_pages():
     assert html_text.main_text(beside) == long.strip()
 
 
+def test_only_open_tags_mark_an_article():
+    text = "Text of the page, some words of it."
+    for other in ("<!-- <article> -->", "<script>x = '<main>'</script>", "<main-menu></main-menu>", "</article>"):
+        assert html_text.lines_of(f"{other}<p>{text}</p>")[-1] == (text, len(text))
+        assert html_text.main_text(f"{other}<p>{text}</p>") == text
+    links = "<p>See <a href=/x>the whole report of the year</a></p>"
+    assert html_text.main_text(f"<article><p>{text}</p>{links}<p>{text}</p></article>") == f"{text}\nSee the whole report of the year\n{text}"
+
+
 def test_pages_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None, 5), (None, None, "<p>x", 5), (2, "u", "", 5), (2, "u", "", 5)], "page_id long, url string, html string, text long")
     assert sorted((str(r["page_id"]), r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()) == [

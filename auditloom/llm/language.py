@@ -13,16 +13,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import utf8
 from auditloom.operators.persisting import materialize
 
-#: Most labelled rows read for each language, and most languages (the most frequent labels).
+#: Most labelled rows read for each language.
 ROWS_PER_LANGUAGE = 1000
-MAX_LANGUAGES = 32
 GRAM_BITS = 14
 GRAMS = 1 << GRAM_BITS
 #: Trigrams of one text overlap and depend on each other; so many count as one observation.
@@ -45,24 +43,22 @@ def trigrams(text: bytes) -> np.ndarray:
 
 def labelled_sample(docs: DataFrame, label: str, per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
     """(label, text): at most ``per_language`` rows of each label, chosen by the hash of their text."""
-    known = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull())
-    labels = known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), label).limit(MAX_LANGUAGES)
-    hashed = known.select(F.col(label).alias("label"), F.xxhash64("text").alias("h"))
-    first = Window.partitionBy("label").orderBy("h")
-    chosen = (
-        hashed.join(F.broadcast(labels.select(F.col(label).alias("label"))), "label").distinct()
-        .withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_language).drop("place")
+    known = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull()).select(
+        F.col(label).alias("label"), "text", F.xxhash64("text").alias("h")
     )
-    # At most per_language * MAX_LANGUAGES pairs of a label and a hash.
-    rows = known.select(F.col(label).alias("label"), "text", F.xxhash64("text").alias("h"))
-    return rows.join(F.broadcast(chosen), ["label", "h"]).dropDuplicates(["label", "h"]).select("label", "text")
+    first = Window.partitionBy("label").orderBy("h")
+    placed = known.select("label", "h").distinct().withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_language)
+    # One row per label; written, so that its size decides whether it is broadcast.
+    last = materialize(placed.groupBy("label").agg(F.max("h").alias("last")), "last-hashes")
+    rows = known.join(last, "label").filter(F.col("h") <= F.col("last"))
+    return rows.dropDuplicates(["label", "h"]).select("label", "text")
 
 
 def trigram_model(sample: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages in order and the smoothed log probability of every trigram in each.
 
-    Counts are summed by language and trigram before they reach the driver: GRAMS * MAX_LANGUAGES numbers
-    at most, however many tasks counted.
+    Every label is a language. Counts are summed by language and trigram before they reach the driver,
+    where a language is one row of GRAMS numbers of four bytes, however many tasks counted.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,18 +74,26 @@ def trigram_model(sample: DataFrame) -> tuple[list[str], np.ndarray]:
             )
 
     found = sample.mapInArrow(count, "label string, gram int, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
-    rows = found.toArrow()
-    labels = sorted(pc.unique(rows["label"]).to_pylist())
-    if not labels:
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for label, pairs in zip(batch.column("label").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+                counts = np.full(GRAMS, 0.5)
+                counts[[p["gram"] for p in pairs]] += [p["n"] for p in pairs]
+                weights = np.log(counts / counts.sum()).astype(np.float32)
+                yield pa.RecordBatch.from_pydict({"label": [label], "weights": pa.array([weights.tobytes()], pa.binary())})
+
+    pairs = found.groupBy("label").agg(F.collect_list(F.struct("gram", "n")).alias("pairs"))  # GRAMS of a label at most
+    rows = pairs.mapInArrow(weigh, "label string, weights binary").toArrow().sort_by("label")
+    if not rows.num_rows:
         return [], np.zeros((GRAMS, 0), dtype=np.float32)
-    counts = np.zeros((GRAMS, len(labels)), dtype=np.int64)
-    counts[rows["gram"].to_numpy(), pc.index_in(rows["label"], pa.array(labels, rows["label"].type)).to_numpy()] = rows["n"].to_numpy()
-    return labels, np.log((counts + 0.5) / (counts + 0.5).sum(0)).astype(np.float32)
+    columns = [np.frombuffer(w.as_py(), np.float32) for w in rows.column("weights")]
+    return rows.column("label").to_pylist(), np.ascontiguousarray(np.stack(columns, axis=1))
 
 
 def text_likelihoods(docs: DataFrame, labels: Sequence[str], model: np.ndarray, keep: Sequence[str]) -> DataFrame:
     """``keep`` columns, n_trigrams, and the log likelihood of the whole text in every language."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS * MAX_LANGUAGES numbers at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS numbers of four bytes a language
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,16 +180,16 @@ def identify(
         nothing = [F.lit(None).cast("string").alias(c) for c in ("text_language", "language")]
         return rows.select(*keep, *nothing, F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     scored = text_likelihoods(rows, labels, model, [*keep, "__declared", "__host"])
-    flat = F.array(*[F.lit(1.0 / n)] * n)
+    flat = F.array_repeat(F.lit(1.0 / n), n)
     host = F.coalesce("__host", F.lit(""))
     base = materialize(
         scored.select(
             *keep, "n_trigrams", "loglik", F.coalesce("__declared", F.lit("")).alias("__declared"),
             host.alias("__host"), domain_of(host).alias("__domain"), suffix_of(host).alias("__suffix"),
-        ).withColumn("posterior", F.when(F.col("n_trigrams") > 0, _softmax(F.col("loglik"))).otherwise(F.array(*[F.lit(0.0)] * n))),
+        ).withColumn("posterior", F.when(F.col("n_trigrams") > 0, _softmax(F.col("loglik"))).otherwise(F.array_repeat(F.lit(0.0), n))),
         "likelihoods",
     )
-    zero = F.array(*[F.lit(0.0)] * n)
+    zero = F.array_repeat(F.lit(0.0), n)
     everything = base.agg(F.array(*[F.coalesce(F.sum(F.get("posterior", F.lit(i))), F.lit(0.0)) for i in range(n)]).alias("of_all"))
     # One row per host, domain, suffix and declared language; written, so that both sides of a join
     # are plain shuffles and a frequent key is split.

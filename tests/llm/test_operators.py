@@ -425,6 +425,18 @@ def test_languages_of_documents_and_pages(spark):
     assert sum(r["kept"] for r in pages) >= 0.99 * len(pages)
 
 
+def test_every_label_is_a_language(spark):
+    names = [f"l{i:02d}" for i in range(40)]
+    rows = [(i * 1000 + k, " ".join(f"{a}{b}{a}" for b in "aeiou") + f" {a}{a}", name)
+            for i, name in enumerate(names) for a in [chr(98 + i % 20) + chr(98 + i // 20)] for k in range(40 - i)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels, model = language.trigram_model(language.labelled_sample(docs, "lang"))
+    assert labels == names and model.shape == (language.GRAMS, 40)
+    facts = docs.select("doc_id", "text", "lang", F.lit("").alias("__declared"), F.lit("").alias("__host"))
+    found = language.identify(facts, labels, model, ["lang"]).collect()
+    assert all(r["text_language"] == r["lang"] for r in found)
+
+
 def test_declared_host_and_suffix_decide_unclear_texts(spark):
     labels, model = language.trigram_model(spark.createDataFrame([("de", "der die das und nicht " * 40), ("en", "the and of this that " * 40)], "label string, text string"))
     rows = [(i, "der die das und nicht", "de", "a.example.de") for i in range(30)] + [(i, "the and of this that", "en", "b.example.com") for i in range(30, 60)]

@@ -20,12 +20,10 @@ from pyspark.sql import functions as F
 
 #: Most labelled rows of each class that training reads; those with the smallest hash of the text.
 ROWS_PER_CLASS = {0: 3000, 1: 1500}
-#: n-gram buckets, size of a vector, n-gram lengths, and the share of texts that must hold an n-gram
-#: (3 texts at least).
+#: n-gram buckets, size of a vector, n-gram lengths.
 BUCKETS = 1 << 18
 DIMENSIONS = 4
 NGRAMS = (3, 4, 5, 6)
-MIN_SHARE = 1 / 300
 EPOCHS = 120
 RATE = 0.3
 DECAY = 0.02
@@ -110,7 +108,7 @@ class _Means:
 def train(texts: Sequence[str], toxic: Sequence[int], seed: int = 7) -> Model:
     """Joint training by Adam over all rows at once, with a rate that falls to nothing.
 
-    Only n-grams that ``MIN_SHARE`` of the texts hold have a vector. Without both classes the score is the
+    Every n-gram of the texts has a vector; ``DECAY`` holds those of rare ones near zero. Without both classes the score is the
     share of class 1 (0 without rows).
     """
     y = np.asarray(toxic, dtype=np.float32)
@@ -124,15 +122,12 @@ def train(texts: Sequence[str], toxic: Sequence[int], seed: int = 7) -> Model:
     numbers: dict[str, int] = {}
     words = [[numbers.setdefault(w, len(numbers)) for w in bags[i]] for i in used]
     flat, lengths = ngrams(list(numbers))
-    starts = np.r_[0, np.cumsum(lengths)]
-    texts_with = np.zeros(BUCKETS, dtype=np.int64)
-    for bag in words:
-        texts_with[np.unique(np.concatenate([flat[starts[w] : starts[w + 1]] for w in set(bag)]))] += 1
-    common = texts_with >= max(3, MIN_SHARE * len(words))
+    met = np.zeros(BUCKETS, dtype=bool)
+    met[flat] = True
     of_word = _Means(flat, lengths, BUCKETS)
     of_text = _Means(*_ragged(words), len(numbers))
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32) * common[:, None]
+    vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32) * met[:, None]
     softmax = rng.normal(0, 1, (DIMENSIONS, 1)).astype(np.float32)
     bias = np.array([np.log(y.mean() / (1 - y.mean()))], dtype=np.float32)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
@@ -140,7 +135,7 @@ def train(texts: Sequence[str], toxic: Sequence[int], seed: int = 7) -> Model:
         mean = of_text.of(of_word.of(vectors))
         p = 1 / (1 + np.exp(-np.clip(mean @ softmax + bias, -30, 30)))
         error = (p - y[:, None]) / len(y)
-        to_vectors = of_word.gradient(of_text.gradient(error @ softmax.T)) * common[:, None] + DECAY * vectors / len(y)
+        to_vectors = of_word.gradient(of_text.gradient(error @ softmax.T)) * met[:, None] + DECAY * vectors / len(y)
         gradients = (to_vectors, mean.T @ error + DECAY * softmax / len(y), error.sum(0))
         for value, slope, (m, v) in zip((vectors, softmax, bias), gradients, state, strict=True):
             m += 0.1 * (slope - m)

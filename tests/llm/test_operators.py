@@ -470,6 +470,13 @@ def test_toxicity_on_held_out_rows_and_misspellings():
     assert 0 <= scores[3] <= 1
 
 
+def test_toxicity_learns_words_of_a_single_text():
+    plain = ["the cat sat on the mat and saw a bird today %d" % i for i in range(60)]
+    bad = ["the cat sat on the mat and saw a stupid idiot %d" % i for i in range(59)] + ["the cat sat on the mat and saw a zorqvux zorqvux 59"]
+    scores = toxicity.WordScores(toxicity.train(plain + bad, [0] * 60 + [1] * 60)).of(["the mat and a zorqvux cat", "the mat and a cat"])
+    assert scores[0] > scores[1]
+
+
 def test_toxicity_odd_rows(spark):
     df = documents(spark, *ODD)
     model = toxicity.train([], [])

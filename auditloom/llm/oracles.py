@@ -123,9 +123,32 @@ SELECT d.doc_id, CASE WHEN c.n_removed > 0 THEN c.text ELSE d.text END AS text,
 FROM documents d LEFT JOIN cleaned c ON c.doc_id = d.doc_id
 """
 
+#: Every document against every item, term by term.
+RANKED_SEARCH = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), held AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY 1, 2),
+sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY 1),
+totals AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM held, totals GROUP BY term
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
 ORACLES = {
     "op1_minhash_near_dedup": NEAR_DEDUP,
     "op3_quality_rules": QUALITY,
     "op7_mixing": MIXING,
     "op8_line_dedup": LINE_DEDUP,
+    "op13_ranked_search": RANKED_SEARCH,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import (
-    bpe, class_lm, fingerprints, html_text, language, line_dedup, minhash, mixing, quality, toxicity,
+    bpe, class_lm, fingerprints, html_text, language, line_dedup, minhash, mixing, packing, quality, search, toxicity,
 )
 from auditloom.llm.common import crc32_mod, table
 from auditloom.llm.oracles import ORACLES
@@ -15,6 +15,7 @@ from auditloom.llm.oracles import ORACLES
 __all__ = ["ORACLES", "QUERIES"]
 
 TOKENIZER = "byte_bpe_50k.json"
+WORD_TOKENIZER = "word_bpe_49k.json"
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -96,5 +108,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op12_packing": op12_packing,
+    "op13_ranked_search": op13_ranked_search,
     "page_languages": page_languages,
 }

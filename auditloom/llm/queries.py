@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from auditloom.llm import (
     bpe, class_lm, fingerprints, html_text, language, line_dedup, minhash, mixing, packing, quality, search, toxicity,
+    variants,
 )
 from auditloom.llm.common import crc32_mod, table
 from auditloom.llm.oracles import ORACLES
@@ -86,6 +87,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_TOKENIZER))
     return pieces.select(
@@ -108,6 +113,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_toxicity": op10_toxicity,
+    "op11_spelling_variants": op11_spelling_variants,
     "op12_packing": op12_packing,
     "op13_ranked_search": op13_ranked_search,
     "page_languages": page_languages,

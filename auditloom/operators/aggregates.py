@@ -57,7 +57,7 @@ def top_values(df: DataFrame, value: str, limit: int) -> DataFrame:
 def null_rates(df: DataFrame, columns: Sequence[str], limit: int = 5) -> DataFrame:
     """Columns with the highest share of NULLs, in percent, from one pass over the data."""
     one_row = df.agg(
-        *[(F.avg(F.col(c).isNull().cast("double")) * 100.0).alias(f"_{i}") for i, c in enumerate(columns)]
+        *[(F.avg(F.col(f"`{c}`").isNull().cast("double")) * 100.0).alias(f"_{i}") for i, c in enumerate(columns)]
     )
     pairs = [
         F.struct(F.lit(c).alias("column_name"), round_to(f"_{i}", 1).alias("null_pct"), F.col(f"_{i}").alias("_raw"))

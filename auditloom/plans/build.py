@@ -9,29 +9,53 @@ from pyspark.sql import DataFrame, SparkSession
 from auditloom.operators.pairs import count_pairs_by_edges
 from auditloom.plans import enriched, events, marts, network, quality, staging
 from auditloom.plans import vocabulary as v
-from auditloom.sources.records_csv import read_records_csv
+from auditloom.sources.records_csv import broken_records, land_records, records_of, unmapped_report
+from auditloom.sources.snapshots import newest_files
 from auditloom.sources.tables import export_json, publish
-from auditloom.sources.works_json import read_work_pages
+from auditloom.sources.works_json import quarantine, read_work_pages, works_of
+
+
+class Warehouse(dict):
+    """Tables by name, and what was measured while they were written: ``observed[table][check]``."""
+
+    def __init__(self, as_of: dt.date | None = None) -> None:
+        super().__init__()
+        self.as_of = as_of
+        self.observed: dict[str, dict[str, int]] = {}
 
 
 def build_warehouse(
     spark: SparkSession,
-    records_csv: str,
-    work_pages: str,
+    records_csv: str | list[str],
+    work_pages: str | list[str],
     root: str,
     loaded_at: dt.datetime,
     last_full_year: int = v.LAST_FULL_YEAR,
     one_page_per_file: bool = True,
-) -> dict[str, DataFrame]:
-    """Build all layers below ``root`` and return the tables by name."""
-    tables: dict[str, DataFrame] = {}
+    strict: bool = False,
+) -> Warehouse:
+    """Build all layers below ``root`` and return the tables by name.
+
+    Every table is replaced at once after it has been written, so a build that fails leaves each table whole, as it
+    was or as it is now. The checks that look at one row at a time are counted while their table is written, with
+    the day of ``loaded_at`` as today. A folder of dated record files is read from its newest snapshot on. Lines and
+    pages that can't be read go to quarantine tables and are counted in the audit; ``strict`` raises instead.
+    """
+    tables = Warehouse(loaded_at.date())
+    checks = quality.standard_checks(tables.as_of)
 
     def keep(layer: str, name: str, df: DataFrame) -> DataFrame:
-        tables[name] = publish(df, root, layer, name)
+        measures = quality.written_measures(checks, name)
+        tables.observed[name] = {}
+        tables[name] = publish(df, root, layer, name, comments=v.COLUMN_COMMENTS, measures=measures, measured=tables.observed[name])
         return tables[name]
 
-    raw = read_records_csv(spark, records_csv)
-    landed = keep("landing", "works_landed", read_work_pages(spark, work_pages, one_page_per_file))
+    lines = keep("landing", "records_landed", land_records(spark, newest_files(spark, records_csv), strict))
+    landed_rows = keep("landing", "works_landed", read_work_pages(spark, work_pages, one_page_per_file, strict))
+    keep("landing", "quarantined_lines", broken_records(lines))
+    bad_pages = keep("landing", "quarantined_pages", quarantine(landed_rows, work_pages))
+    keep("landing", "unmapped_columns", unmapped_report(lines))
+    raw, landed = records_of(lines), works_of(landed_rows)
 
     records = keep("staging", "records", staging.stage_records(raw, loaded_at))
     reasons = keep("staging", "record_reasons", staging.record_reasons(records))
@@ -44,7 +68,8 @@ def build_warehouse(
     keep("staging", "work_author_institutions", staging.work_author_institutions(landed))
     citations = keep("staging", "work_citations", staging.work_citations(landed))
     keep("staging", "work_topics", staging.work_topics(landed))
-    keep("staging", "load_audit", staging.load_audit(raw, landed, loaded_at))
+    audit = staging.load_audit(raw, landed, loaded_at)
+    keep("staging", "load_audit", audit.unionByName(staging.quarantine_audit(lines, landed_rows, bad_pages, loaded_at)))
 
     facts = keep("intermediate", "records_enriched", enriched.enrich_records(
         records, reasons, countries, authors, institutions, subjects))
@@ -76,8 +101,12 @@ def build_warehouse(
 
 
 def check_warehouse(tables: dict[str, DataFrame], as_of: dt.date, report_path: str | None = None) -> DataFrame:
-    """Run the standard checks; optionally write the report as JSON."""
-    report = quality.run_checks(tables, quality.standard_checks(as_of))
+    """Run the standard checks; optionally write the report as JSON.
+
+    Counts that the build took while it wrote the tables, for the same day, are not taken again.
+    """
+    known = tables.observed if isinstance(tables, Warehouse) and tables.as_of == as_of else {}
+    report = quality.run_checks(tables, quality.standard_checks(as_of), known)
     if report_path:
         export_json(report, report_path)
     return report

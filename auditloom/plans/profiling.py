@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions import parse_date, ratio, round_to, split_multi, year_of
-from auditloom.operators.aggregates import row_counts, top_values
+from auditloom.operators.aggregates import null_rates, row_counts, top_values
+from auditloom.sources.tables import comments_of
 
 
 def date_profile(df: DataFrame, raw_date: str) -> DataFrame:
@@ -50,3 +51,24 @@ def documentation_coverage(profile: DataFrame, described: DataFrame) -> DataFram
     ).withColumn("coverage_pct", round_to(ratio(F.col("n_documented") * 100, "n_columns"), 1))
 
 
+
+
+def stored_descriptions(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, description) of every column, as the tables carry them; null without one."""
+    spark = next(iter(tables.values())).sparkSession
+    rows = [(name, f.name, comments_of(df).get(f.name)) for name, df in tables.items() for f in df.schema.fields]
+    return spark.createDataFrame(rows, "table_name string, column_name string, description string")
+
+
+def stored_coverage(tables: dict[str, DataFrame]) -> DataFrame:
+    """Share of the columns of every table that carry a description."""
+    return stored_descriptions(tables).groupBy("table_name").agg(
+        F.count(F.lit(1)).alias("n_columns"), F.count("description").alias("n_documented")
+    ).withColumn("coverage_pct", round_to(ratio(F.col("n_documented") * 100, "n_columns"), 1))
+
+
+def source_profile(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """One row per column of a source: null_pct, with n_rows and n_columns of the source; most nulls first."""
+    rates = null_rates(df, df.columns, limit or len(df.columns))
+    rows = df.agg(F.count(F.lit(1)).alias("n_rows"))
+    return rates.crossJoin(F.broadcast(rows)).withColumn("n_columns", F.lit(len(df.columns)))

@@ -19,6 +19,7 @@ from auditloom.functions import (
 from auditloom.operators.aggregates import keep_and_count
 from auditloom.operators.generators import explode_positions, explode_values
 from auditloom.plans import vocabulary as v
+from auditloom.sources.works_json import WRONG_VALUES
 
 
 def has_record_id(raw: DataFrame) -> Column:
@@ -200,6 +201,26 @@ def work_topics(landed: DataFrame) -> DataFrame:
     )
 
 
+def quarantine_audit(records_landed: DataFrame, works_landed: DataFrame, pages: DataFrame, loaded_at: dt.datetime) -> DataFrame:
+    """Lines and pages read, kept and in quarantine; rows like those of ``load_audit``.
+
+    ``pages`` is the quarantine of the work pages. A page of which some values were nulled is kept.
+    """
+    lost = pages.filter(F.col("problem") != WRONG_VALUES).select("source_file").distinct().withColumn("_lost", F.lit(True))
+    files = works_landed.select("source_file").union(pages.select("source_file")).distinct()
+    seen = files.join(lost, "source_file", "left")
+    first = F.min("source_file").alias("source_file")
+    parts = [
+        keep_and_count(records_landed, F.col("problem").isNull(), first).select(
+            F.lit("record_lines").alias("dataset"), "*", F.lit(v.BROKEN_LINE_REASON).alias("drop_reason")
+        ),
+        keep_and_count(seen, F.col("_lost").isNull(), first).select(
+            F.lit("work_pages").alias("dataset"), "*", F.lit(v.BROKEN_PAGE_REASON).alias("drop_reason")
+        ),
+    ]
+    return parts[0].unionByName(parts[1]).withColumn("loaded_at", F.lit(loaded_at).cast("timestamp"))
+
+
 def load_audit(raw: DataFrame, landed: DataFrame, loaded_at: dt.datetime) -> DataFrame:
     """Rows read, kept and dropped per source and where they came from (the first file), one pass over each."""
     parts = [

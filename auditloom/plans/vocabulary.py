@@ -61,4 +61,46 @@ CLUSTER_SCORE_NAMES = {
 }
 
 BLANK_ROW_REASON = "完全空白行（上游数据瑕疵，已交叉验证）"
-NULL_KEY_REASON = "作品标识为空（无法作为主键，会让下游 join 静默丢行）"
+
+# Our own wording.
+NULL_KEY_REASON = "work without an id"
+BROKEN_LINE_REASON = "line that does not fit the header, in quarantine"
+BROKEN_PAGE_REASON = "page that could not be read, in quarantine"
+
+#: What columns mean, written with the tables that have them.
+COLUMN_COMMENTS = {
+    "record_id": "number of the record in its source; null where the source has no number",
+    "work_id": "last part of the work's address",
+    "author_id": "last part of the author's address",
+    "cluster_id": "smallest author of the cluster",
+    "journal": "journal as the record spells it, cleaned",
+    "publisher": "publisher as the record spells it, cleaned",
+    "country": "one country of the record",
+    "reason": "one reason of the record",
+    "subject": "one subject of the record, with its code",
+    "institution": "one institution of the record",
+    "author_position": "place in the list of authors, from 1",
+    "retraction_date": "day of the notice, null where it does not parse",
+    "original_paper_date": "day of the paper, null where it does not parse",
+    "retraction_year": "year of the notice",
+    "retraction_latency_days": "days from the paper to the notice",
+    "retraction_nature": "kind of notice, from a fixed vocabulary",
+    "doi": "identifier in lower case, without address",
+    "original_paper_doi": "identifier of the paper in lower case, without address",
+    "publication_year": "year of the work",
+    "cited_by_count": "citations",
+    "n_authors": "number of authors",
+    "n_retractions": "number of records",
+    "paper_mill_share": "share of records with a paper-mill reason, 0 to 1",
+    "burst_ratio": "share of the records that fall in the busiest year",
+    "risk_score": "weighted ranks of the risk features, 0 to 100",
+    "structural_score": "the same without features derived from the label",
+    "risk_tier": "class of the risk score",
+    "event_time": "years since the notice",
+    "auc": "chance that a positive ranks above a negative",
+    "density": "edges over possible edges",
+    "source_file": "file that the row was read from",
+    "loaded_at": "time of the load",
+    "problem": "why the row could not be read; null for good rows",
+    "drop_reason": "why rows were dropped",
+}

@@ -223,8 +223,8 @@ def raw_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def landed_works(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as nested works, in the schema of the JSON pages."""
+def landed_works(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Parts as nested works, in the schema of the JSON pages; ``keep`` are columns of the part to go with them."""
     topic = """
         named_struct('id', concat('https://example.org/T', {n} % 10), 'display_name', concat('Topic ', {n} % 10),
             'score', p_size / 100.0D, 'domain', named_struct('display_name', p_type),
@@ -271,10 +271,11 @@ def landed_works(spark: SparkSession, sf_dir: str) -> DataFrame:
                      i -> named_struct('year', cast(1987 + p_size % 8 + 2 * i as bigint),
                                        'cited_by_count', (p_partkey + i) % 9)) AS counts_by_year""",
         f"transform(slice(array(1, 2, 3), 1, cast(p_partkey % 4 as int)), i -> {author}) AS authorships",
+        *keep,
     )
     schema = work_schema()
     typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
-    return flat.select(F.struct(*typed).alias("w"), F.lit("part").alias("source_file"))
+    return flat.select(F.struct(*typed).alias("w"), F.lit("part").alias("source_file"), *keep)
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:

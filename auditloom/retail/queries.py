@@ -4,21 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom import functions as fn
 from auditloom.operators import aggregates, generators, graph, pairs, ranking, regression
-from auditloom.operators.persisting import scratch_path
+from auditloom.operators.persisting import materialize, scratch_path
 from auditloom.plans import enriched as models
 from auditloom.plans import events, marts, network, profiling, quality, serving, staging
 from auditloom.plans import vocabulary as v
 from auditloom.retail import frames as f
 from auditloom.retail import oracles as o
+from auditloom.sources import tables
 from auditloom.sources.records_csv import read_records_csv, write_records_csv
-from auditloom.sources.snapshots import latest_snapshot
-from auditloom.sources.works_json import read_work_pages, write_work_pages
-from auditloom.streaming.incremental import land_new_files, stream_files
+from auditloom.sources.snapshots import latest_snapshot, newest_files
+from auditloom.sources.works_json import quarantine, read_work_pages, works_of, write_work_pages
+from auditloom.streaming.incremental import (
+    land_new_files, merge_batch, merge_new_files, read_merged, stream_files, stream_work_pages,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -1032,6 +1037,56 @@ def doc_coverage(spark, sf):
     return profiling.documentation_coverage(profile, described)
 
 
+_DESCRIBED = {
+    "region": {"r_name": "name of the region"},
+    "nation": {"n_name": "name of the nation", "n_regionkey": "region of the nation"},
+    "supplier": {"s_name": "name of the supplier", "s_nationkey": "nation of the supplier", "s_acctbal": "balance"},
+    "part": {"p_brand": "brand", "p_size": "size, 1 to 50"},
+}
+
+
+def _described(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The tables published with comments and read back."""
+    root = scratch_path(spark, "described")
+    return {t: tables.publish(f.table(spark, sf, t), root, "dims", t, comments=notes) for t, notes in _DESCRIBED.items()}
+
+
+@register("stored_comments", """
+    SELECT * FROM (VALUES
+        ('region', 'r_regionkey', NULL), ('region', 'r_name', 'name of the region'),
+        ('nation', 'n_nationkey', NULL), ('nation', 'n_name', 'name of the nation'),
+        ('nation', 'n_regionkey', 'region of the nation'),
+        ('supplier', 's_suppkey', NULL), ('supplier', 's_name', 'name of the supplier'),
+        ('supplier', 's_nationkey', 'nation of the supplier'), ('supplier', 's_acctbal', 'balance'),
+        ('part', 'p_partkey', NULL), ('part', 'p_name', NULL), ('part', 'p_brand', 'brand'), ('part', 'p_type', NULL),
+        ('part', 'p_size', 'size, 1 to 50'), ('part', 'p_retailprice', NULL)
+    ) AS t(table_name, column_name, description)""")
+def stored_comments(spark, sf):
+    return profiling.stored_descriptions(_described(spark, sf))
+
+
+@register("stored_coverage", """
+    SELECT * FROM (VALUES ('region', 2::BIGINT, 1::BIGINT, 50.0::DOUBLE), ('nation', 3, 2, 66.7), ('supplier', 4, 3, 75.0),
+                          ('part', 6, 2, 33.3)) AS t(table_name, n_columns, n_documented, coverage_pct)""")
+def stored_coverage(spark, sf):
+    return profiling.stored_coverage(_described(spark, sf))
+
+
+_STAGED_COLUMNS = (
+    "record_id", "title", "journal", "publisher", "institution_raw", "author_raw", "country_raw", "subject_raw",
+    "article_type_raw", "reason_raw", "notes", "urls", "retraction_date", "original_paper_date", "retraction_year",
+    "original_paper_year", "retraction_doi", "original_paper_doi", "retraction_pubmed_id", "original_paper_pubmed_id",
+    "retraction_nature", "paywalled", "source_file", "loaded_at",
+)
+
+
+@register("source_profile", " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, round(100 * avg(CASE WHEN {c} IS NULL THEN 1::DOUBLE ELSE 0::DOUBLE END), 1) AS null_pct, "
+    f"count(*) AS n_rows, 24 AS n_columns FROM staged" for c in _STAGED_COLUMNS))
+def source_profile(spark, sf):
+    return profiling.source_profile(f.staged(spark, sf))
+
+
 # --- sources and streaming --------------------------------------------------------------------
 
 @register("scan_csv_records", "SELECT * EXCLUDE (source_file) FROM staged")
@@ -1041,6 +1096,19 @@ def scan_csv_records(spark, sf):
     return staging.stage_records(read_records_csv(spark, path), f.LOADED_AT).drop("source_file")
 
 
+@register("newest_snapshot_files", """
+    SELECT o_orderkey, o_custkey FROM orders
+    WHERE date_trunc('year', o_orderdate) = (SELECT max(date_trunc('year', o_orderdate)) FROM orders)""")
+def newest_snapshot_files(spark, sf):
+    """A dated file per year of orders; only those of the newest year are opened."""
+    path = scratch_path(spark, "snapshots")
+    dated = f.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"))
+    for (year,) in sorted(dated.select("y").distinct().collect()):  # a row per year
+        dated.filter(F.col("y") == year).drop("y").write.option("header", True).csv(f"{path}/orders_{year}1231.csv")
+    chosen = newest_files(spark, f"{path}/*", stamp=r"_(\d{8})\.csv/")
+    return spark.read.option("header", True).schema("o_orderkey bigint, o_custkey bigint").csv(chosen)
+
+
 @register("scan_json_pages", "SELECT * EXCLUDE (source_file) FROM works")
 def scan_json_pages(spark, sf):
     path = scratch_path(spark, "work-pages")
@@ -1059,3 +1127,119 @@ def incremental_load(spark, sf):
         stream = stream_files(spark, source, rows.schema)
         land_new_files(stream, target, f"{target}-checkpoint", "event_id")
     return spark.read.schema(rows.schema).parquet(target)
+
+
+_WORKS_PER_PAGE = 50
+
+
+def _write_pages(spark: SparkSession, sf: str, path: str, chosen: Column | None = None) -> None:
+    """Parts as gzip pages of up to 50 works, one file each; some are cut off, some have an error in place of the list."""
+    page = (F.col("p_partkey") / _WORKS_PER_PAGE).cast("int")
+    numbered = f.landed_works(spark, sf, "p_partkey").withColumn("page", page)
+    if chosen is not None:
+        numbered = numbered.filter(chosen)
+    pages = numbered.groupBy("page").agg(F.collect_list("w").alias("results"))
+    text = F.to_json(F.struct(F.struct(F.size("results").alias("count")).alias("meta"), "results"))
+    cut = F.when(F.col("page") % 7 == 2, F.substring(text, F.lit(1), (F.length(text) / 2).cast("int"))).when(
+        F.col("page") % 7 == 4, F.lit('{"error": "try again"}')).otherwise(text)
+    # A file per page, as the source delivers them.
+    out = pages.select("page", cut.alias("value")).repartition("page")
+    out.write.mode("append").partitionBy("page").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
+
+
+def _landed_pages(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    path = scratch_path(spark, "pages")
+    _write_pages(spark, sf, path)
+    return materialize(read_work_pages(spark, f"{path}/page=*/*.gz"), "landed-pages"), f"{path}/page=*/*.gz"
+
+
+@register("quarantined_pages", f"""
+    SELECT DISTINCT p_partkey // {_WORKS_PER_PAGE} AS page,
+           CASE (p_partkey // {_WORKS_PER_PAGE}) % 7 WHEN 2 THEN 'malformed page' ELSE 'no list of works' END AS problem
+    FROM part WHERE (p_partkey // {_WORKS_PER_PAGE}) % 7 IN (2, 4)""")
+def quarantined_pages(spark, sf):
+    """Broken pages by name."""
+    landed, path = _landed_pages(spark, sf)
+    return quarantine(landed, path).select(
+        F.regexp_extract("source_file", r"page=(\d+)", 1).cast("bigint").alias("page"), "problem"
+    )
+
+
+@register("scan_pages_with_broken_ones", f"""
+    SELECT * EXCLUDE (source_file) FROM works
+    WHERE (CAST(substr(work_id, 2) AS BIGINT) // {_WORKS_PER_PAGE}) % 7 NOT IN (2, 4)""")
+def scan_pages_with_broken_ones(spark, sf):
+    """The works of all other pages."""
+    landed, _ = _landed_pages(spark, sf)
+    return staging.stage_works(works_of(landed), f.LOADED_AT).drop("source_file")
+
+
+@register("quarantine_audit", f"""
+    SELECT 'record_lines' AS dataset, count(*) AS rows_read, count(*) FILTER (WHERE o_orderkey % 50 <> 3) AS rows_kept,
+           count(*) FILTER (WHERE o_orderkey % 50 = 3) AS rows_dropped, '{v.BROKEN_LINE_REASON}' AS drop_reason FROM orders
+    UNION ALL
+    SELECT 'work_pages', count(*), count(*) FILTER (WHERE page % 7 NOT IN (2, 4)), count(*) FILTER (WHERE page % 7 IN (2, 4)),
+           '{v.BROKEN_PAGE_REASON}' FROM (SELECT DISTINCT p_partkey // {_WORKS_PER_PAGE} AS page FROM part)""")
+def quarantine_audit(spark, sf):
+    """Lines of which some are marked as broken, and pages of which some are."""
+    key = F.regexp_extract("RetractionDOI", r"(\d+)$", 1).cast("bigint")
+    lines = f.raw_records(spark, sf).withColumn("problem", F.when(key % 50 == 3, F.lit("marked")))
+    landed, path = _landed_pages(spark, sf)
+    return staging.quarantine_audit(lines, landed, quarantine(landed, path), f.LOADED_AT).drop("source_file", "loaded_at")
+
+
+@register("stream_pages", f"""
+    SELECT * EXCLUDE (source_file) FROM works
+    WHERE (CAST(substr(work_id, 2) AS BIGINT) // {_WORKS_PER_PAGE}) % 7 NOT IN (2, 4)""")
+def stream_pages(spark, sf):
+    """Gzip pages landed by two runs of a stream: those that are there, then those that came later."""
+    source, target = scratch_path(spark, "arriving-pages"), scratch_path(spark, "landed-pages")
+    later = F.col("page") % 3 == 0
+    for arriving in (~later, later):
+        _write_pages(spark, sf, source, arriving)
+        land_new_files(stream_work_pages(spark, f"{source}/page=*", name_filter="*.gz"), target, f"{target}-checkpoint")
+    landed = spark.read.parquet(target)
+    return staging.stage_works(works_of(landed), f.LOADED_AT).drop("source_file")
+
+
+@register("merged_landing", """
+    SELECT event_id, ts, user_id, event_type,
+           CASE WHEN event_id % 10 = 0 THEN value + 1 WHEN event_id % 15 = 0 THEN value + 2 ELSE value END AS value, props,
+           CASE WHEN event_id % 10 = 0 THEN 2 WHEN event_id % 15 = 0 THEN 3 ELSE 1 END AS version FROM events""")
+def merged_landing(spark, sf):
+    """Three runs into one table: even keys; odd keys with new and stale versions of old ones; and a repeat with a newer one.
+
+    The second batch is merged once more by hand, as after a run that ended before its checkpoint was written.
+    """
+    rows = f.table(spark, sf, "events").withColumn("version", F.lit(1))
+    source, target = scratch_path(spark, "arriving"), scratch_path(spark, "merged")
+    key = F.col("event_id")
+
+    def newer(chosen: Column, by: int, version: int) -> DataFrame:
+        return rows.filter(chosen).withColumns({"value": F.col("value") + by, "version": F.lit(version)})
+
+    odd = rows.filter(key % 2 == 1)
+    second = odd.unionByName(newer(key % 10 == 0, 1, 2)).unionByName(newer(key % 4 == 0, 7, 0))
+    third = newer((key % 15 == 0) & (key % 10 != 0), 2, 3).unionByName(odd)
+    for arriving in (rows.filter(key % 2 == 0), second, third):
+        arriving.repartition(4).write.mode("append").parquet(source)
+        merge_new_files(stream_files(spark, source, rows.schema), target, f"{target}-checkpoint", "event_id", "version", 8)
+    merge_batch(second.withColumn("version", F.lit(9)), target, f"{target}-checkpoint", 1, "event_id", "version")
+    return read_merged(spark, target).select(*rows.columns)
+
+
+@register("replaced_table", """
+    SELECT l_returnflag, count(*) AS n, 2 AS version FROM lineitem GROUP BY ALL""")
+def replaced_table(spark, sf):
+    """A table replaced after a failed replacement, read with its log's last version."""
+    root = scratch_path(spark, "replaced")
+    lines = f.table(spark, sf, "lineitem")
+    tables.publish(lines.filter("l_quantity > 10").select("l_returnflag"), root, "facts", "lines")
+    try:
+        bad = lines.select(F.when(F.col("l_quantity") > 0, F.raise_error(F.lit("stop"))).cast("string").alias("l_returnflag"))
+        tables.publish(bad, root, "facts", "lines")
+    except (PySparkException, Py4JJavaError):
+        pass
+    tables.publish(lines.select("l_returnflag"), root, "facts", "lines")
+    return tables.load(spark, root, "facts", "lines").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "version", F.lit(tables.last_version(spark, root, "facts", "lines")).cast("int"))

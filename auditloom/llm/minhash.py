@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import utf8
 from auditloom.llm.components import components
 from auditloom.llm.words import WordHashes, mixed, runs
+from auditloom.operators.lookup import lookup
 from auditloom.operators.persisting import materialize
 
 WIDTH = 5
@@ -97,23 +98,19 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(rep, shingles) for the rows of ``wanted`` (rep, set_hash)."""
+    """(rep, shingles) for the classes of ``wanted`` (rep, doc_id, text_hash), read from one text of each."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = WordHashes()
         for batch in batches:
-            reps, sets = [], []
-            for rep, wanted_hash, text in zip(
-                batch.column("rep").to_pylist(), batch.column("set_hash").to_pylist(), utf8(batch.column("text")), strict=True
-            ):
-                found = shingles(text, width, memory)
-                if len(found) and xxhash.xxh3_128_digest(found.tobytes()) == wanted_hash:
-                    reps.append(rep)
-                    sets.append(found.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
+            sets = [shingles(text, width, memory).view(np.int64) for text in utf8(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(sets, pa.list_(pa.int64()))], ["rep", "shingles"])
 
-    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("rep"))
-    return texts.select("rep", "set_hash", "text").mapInArrow(read, "rep long, shingles array<bigint>")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("text_hash", F.xxhash64("text"))
+    met = texts.join(wanted.hint("merge"), ["doc_id", "text_hash"])
+    # Rows that repeat id and text are together after the join: one of them is enough.
+    one = met.groupBy("doc_id", "text_hash").agg(F.first("rep").alias("rep"), F.first("text").alias("text"))
+    return one.select("rep", "text").mapInArrow(read, "rep long, shingles array<bigint>")
 
 
 def _passing(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
@@ -282,12 +279,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, min_percent: int = MIN_
     reach, and only that document is kept. A text with fewer words is one shingle; texts without words,
     and null, have none, are linked with nothing and kept. Rows without a doc_id are linked with
     nothing: component_id null, kept. Rows that repeat id and text are alike, and kept alike; rows that
-    repeat an id with other texts are compared each. Other columns are ignored.
+    repeat an id with other texts are compared each, so one id may be in several components. Other columns are ignored.
     """
     signed = materialize(signatures(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), width), "signed")
     worded = signed.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
+    # A class goes by a hash of its set: ids can repeat with other texts.
     reps = materialize(
-        worded.groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        worded.groupBy("set_hash").agg(
+            F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        ).select(F.xxhash64("set_hash").alias("rep"), "first", "bands", "sketch"),
         "reps",
     )
     bands = reps.select("rep", F.explode("bands").alias("band"))
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, min_percent: int = MIN_
         "shared",
     )
     members = materialize(bands.join(shared, "band"), "members")
-    wanted = members.select("rep").distinct().join(reps.select("rep", "set_hash"), "rep")
+    wanted = members.select("rep").distinct().join(reps.select("rep", "first.doc_id", "first.text_hash"), "rep")
     sets = materialize(full_sets(docs, wanted, width), "sets")
     floor = min_percent / 100 - SLACK
 
@@ -306,13 +306,20 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, min_percent: int = MIN_
     more = materialize(crossing(members, reps, sets, home, min_percent), "more")
     if not more.isEmpty():
         home = materialize(components(links.unionByName(more)), "home")
+    placed = reps.select("rep", F.col("first.doc_id").alias("first")).join(home, F.col("rep") == F.col("node"), "left").select(
+        "rep", "first", F.coalesce("component", "rep").alias("component")
+    )
+    smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     named = materialize(
-        reps.select("rep", "set_hash").join(home, F.col("rep") == F.col("node"), "left")
-        .select(F.col("set_hash").alias("of_hash"), F.coalesce("component", "rep").alias("component")),
-        "named",
+        lookup(placed, smallest, "component").select(F.col("rep").alias("of_class"), "component_id"), "named"
+    )
+    empty = F.col("set_hash").isNull()  # these are in no class, and spread by their row
+    found = signed.select(
+        "doc_id", "text_hash", "n_shingles", empty.alias("empty"),
+        F.when(empty, F.xxhash64("doc_id", "text_hash")).otherwise(F.xxhash64("set_hash")).alias("class"),
     )
-    linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return signed.select("doc_id", "text_hash", "n_shingles", "set_hash").join(named, F.col("set_hash") == F.col("of_hash"), "left").select(
+    linked = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return found.join(named, (F.col("class") == F.col("of_class")) & ~F.col("empty"), "left").select(
         "doc_id", "n_shingles", linked.alias("component_id"),
         F.coalesce(F.col("doc_id") == linked, F.lit(True)).alias("kept"), "text_hash",
     )

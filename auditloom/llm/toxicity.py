@@ -70,12 +70,17 @@ def ngrams(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, allowed: Column, per_class: dict = ROWS_PER_CLASS) -> DataFrame:
-    """(text, toxic) of at most ``per_class`` labelled rows of each class."""
+    """(h, doc_id, toxic, text) of at most ``per_class`` labelled ids of each class, one row for each.
+
+    Of an id that ``docs`` repeats with other texts, the text with the smallest hash counts.
+    """
     known = labels.filter(allowed & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
     # Two bounded lists of ids: a broadcast of a known size, so no text is shuffled.
     chosen = [known.filter(F.col("toxic") == y).distinct().orderBy(order, "doc_id").limit(per_class[y]) for y in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("text", "toxic")
+    met = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")
+    return met.groupBy("doc_id", "toxic").agg(first).select("one.h", "doc_id", "toxic", "one.text")
 
 
 def _ragged(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -188,9 +193,10 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column) -> Model:
     """Model of the labelled rows that ``allowed`` (a condition on labels) admits.
 
     The sample holds more of the rarer class than the rows do; the bias is put right by the counts of
-    both classes over all admitted rows.
+    both classes over all admitted rows. The rows are put in order first, as sums of floats depend on it: the model
+    is the same however the tables are partitioned.
     """
-    rows = training_rows(docs, labels, allowed).toPandas()
+    rows = training_rows(docs, labels, allowed).toPandas().sort_values(["h", "doc_id", "toxic"])
     model = train(rows["text"].fillna("").tolist(), rows["toxic"].tolist())
     all_rows = labels.filter(allowed).agg(*[F.count_if(F.col("toxic") == y) for y in (0, 1)]).first()
     drawn = [int((rows["toxic"] == y).sum()) for y in (0, 1)]

@@ -1,11 +1,12 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped so that every block of text is a line; a stripped menu, header or footer leaves a
-gap of ``WINDOW`` empty lines, which no window bridges, any other stripped element (adverts, forms,
-scripts, ...), which may stand within the text, one empty line. The text lengths of ``WINDOW`` following lines are summed at
+gap of ``WINDOW`` empty lines, which no window bridges. Other stripped blocks (adverts, forms, ...) may stand
+within the text: any number of them in a row leaves one empty line. Scripts, pictures, controls and other elements
+within a line leave nothing. The text lengths of ``WINDOW`` following lines are summed at
 every line. Text surges where the sums leave zero and dives where they return to it; the text from
-the first surge that reaches the threshold to the last dive is kept. Lines made of links add no length,
-but stay where they stand between lines that are kept; when the page marks an article, lines outside it count one in ``OUTSIDE`` of their characters.
+the first surge that reaches the threshold to the last dive is kept. Lines made of links add no length (within a
+marked article only those of lists and tables), but stay where they stand between lines that are kept; when the page marks an article, lines outside it count one in ``OUTSIDE`` of their characters.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th "
     "thead title tr ul caption".split()
 )
-#: Their content is code, not text; it ends at their own end tag only.
-RAW = frozenset("script style noscript template textarea iframe object svg math canvas select head title".split())
+#: Their content is code or a control, not text; it ends at their own end tag only. They don't end a line.
+RAW = frozenset("script style noscript template textarea iframe object svg canvas select head title".split())
 CHROME = frozenset("nav footer aside form menu dialog button".split())
 FRAME = frozenset(("nav", "header", "footer"))
 MAIN = frozenset(("article", "main"))
@@ -42,7 +43,15 @@ CHROME_WORDS = frozenset(
     "notices notification alert popup modal overlay newsletter subscribe signup login share sharing social related "
     "recommended widget toolbar masthead topbar skip pagination pager copyright".split()
 )
+#: After one of these words these only say where or how: ad-container, but not ad-hoc.
+PLACES = frozenset(
+    "area bar block body bottom box button buttons container content count footer form frame group header holder icon icons "
+    "inner item items label left link links list main message module outer panel post posts region right row section "
+    "slot space stories tabs thread title toggle top unit wrap wrapper zone".split()
+)
 WRAPPERS = frozenset("has with no without".split())
+#: Within an article a line of links is text (a linked title, say) unless it is one of these.
+CELLS = frozenset(("li", "td", "th", "dd", "dt", "option"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 SPACE = re.compile(r"\s+")
 
@@ -62,20 +71,28 @@ def is_chrome(tag: str, attributes: str, in_main: bool) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if name in ("class", "id"):
-            for part in value.split():
-                words = re.split(r"[^a-z]+", part)
-                found = CHROME_WORDS.intersection(words) or not in_main and "header" in words
-                if found and not WRAPPERS.intersection(words):
-                    return True
+            if any(names_chrome([w for w in re.split(r"[^a-z]+", part) if w], in_main) for part in value.split()):
+                return True
     return False
 
 
+def names_chrome(words: list[str], in_main: bool) -> bool:
+    """True for a class name, cut into its words, that ends in a word for such elements, or has one before mere places."""
+    if not words or WRAPPERS.intersection(words):
+        return False
+    known = CHROME_WORDS if in_main else CHROME_WORDS | {"header"}
+    while len(words) > 1 and words[-1] in PLACES and words[-1] not in known:
+        words = words[:-1]
+    return words[-1] in known
+
+
 def lines_of(page: str) -> list[tuple[str, int]]:
     """(text, length that counts) of every line, with the gaps that stripped elements leave."""
     out: list[tuple[str, int]] = []
     outside: list[int] = []  # the lines outside articles, which weigh less once one has opened
     has_main = False
     parts: list[str] = []
+    block = ""  # the element whose line is open
     linked = 0  # characters of the open line inside links
     main = link = 0
     skipped, depth = "", 0  # the stripped element that is open, and how many of its kind
@@ -88,7 +105,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if text:
             if not main:
                 outside.append(len(out))
-            out.append((text, len(text) if 2 * linked < len(text) else 0))
+            out.append((text, len(text) if 2 * linked < len(text) or main and block not in CELLS else 0))
         linked = 0
 
     while at < len(page):
@@ -114,6 +131,7 @@ def lines_of(page: str) -> list[tuple[str, int]]:
                 continue
         if tag in BLOCKS:
             close_line()
+            block = "" if ends else tag
         if tag in MAIN:
             has_main |= not ends
             main = max(0, main + (-1 if ends else 1))
@@ -124,13 +142,15 @@ def lines_of(page: str) -> list[tuple[str, int]]:
         if ends or tag in VOID:
             continue
         if tag in RAW:
-            close_line()
-            out.append(("", 0))
             end = re.compile(rf"</{tag}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page) if tag in ("script", "style") else at
         elif is_chrome(tag, found[3], main > 0):
-            close_line()
-            out += [("", 0)] * (WINDOW if tag in FRAME else 1)
+            if tag in BLOCKS:
+                close_line()
+                if tag in FRAME:
+                    out += [("", 0)] * WINDOW
+                elif out and out[-1][0]:
+                    out.append(("", 0))
             skipped, depth = tag, 1
     close_line()
     if has_main:

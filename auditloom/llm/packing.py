@@ -32,7 +32,7 @@ SLACK = 6
 #: Id that ends every document.
 END = 1
 #: Bytes of known words and chunks that a task holds, bytes of text that are split at a time, words encoded at a time.
-MEMORY = 200 << 20
+MEMORY = 256 << 20
 SLICE = 1 << 20
 TOGETHER = 5000
 #: Rows whose texts are encoded before they are packed.
@@ -40,7 +40,10 @@ ROWS = 500
 BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Fixed values of the tokenizer: the mark of a word's last piece, and its words as far as Latin-1 has their characters.
 WORD_END = "</w>"
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe\x09-\x0d\x20\x85\xa0]+")
+WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe\x09-\x0d\x20\x85\xa0]+").findall
+#: Chunks that are encoded by themselves: beyond Latin-1 (in UTF-8), or with the start of a special token, which is looked
+#: for before letters are lower-cased.
+APART = re.compile(rb"[\xc4-\xff]|<\|").search
 
 
 class Encoder:
@@ -88,36 +91,41 @@ class Encoder:
             self.words.clear()
             self.held = 0
         split = [text.split() for text in texts]
-        self._learn([c for c in dict.fromkeys(c for chunks in split for c in chunks) if c not in self.chunks])
+        self._learn(set().union(*split).difference(self.chunks))
         return [b"".join(map(self.chunks.__getitem__, chunks)) for chunks in split]
 
-    def _learn(self, chunks: Sequence[bytes]) -> None:
-        cut: list[tuple[bytes, list[str]]] = []
-        alone: list[bytes] = []
-        for chunk in chunks:
-            text = chunk.decode()
-            if text.isascii() or max(text) <= "\xff":
-                if "<|" not in text:  # special tokens are looked for before letters are lower-cased
-                    cut.append((chunk, WORDS.findall(text.lower())))
-                    continue
-            alone.append(chunk)
-        new = list(dict.fromkeys(w for _, words in cut for w in words if w not in self.words))
+    def _learn(self, chunks: set[bytes]) -> None:
+        alone = list(filter(APART, chunks))
+        for i in range(0, len(alone), TOGETHER):
+            part = alone[i : i + TOGETHER]
+            found = self.encode([c.decode() for c in part], add_special_tokens=False)
+            self._hold(self.chunks, part, [np.array(x.ids, dtype="<u4").tobytes() for x in found])
+        cut = list(chunks.difference(alone))
+        words = list(map(WORDS, b"\n".join(cut).decode().lower().split("\n"))) if cut else []
+        new = list(set().union(*words).difference(self.words))
         for i in range(0, len(new), TOGETHER):
             part = new[i : i + TOGETHER]
             ids = np.array(self.encode([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            ends = [0, *(4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()]
             raw = ids.tobytes()
-            self._hold(self.words, zip(part, (raw[4 * a : 4 * b] for a, b in pairwise([0, *ends.tolist()])), strict=True))
-        self._hold(self.chunks, ((chunk, b"".join(map(self.words.__getitem__, words))) for chunk, words in cut))
-        for i in range(0, len(alone), TOGETHER):
-            part = alone[i : i + TOGETHER]
-            found = self.encode([c.decode() for c in part], add_special_tokens=False)
-            self._hold(self.chunks, ((c, np.array(x.ids, dtype="<u4").tobytes()) for c, x in zip(part, found, strict=True)))
+            self._hold(self.words, part, [raw[a:b] for a, b in pairwise(ends)])
+        known = self.words
+        self._hold(self.chunks, cut, [known[w[0]] if len(w) == 1 else b"".join(map(known.__getitem__, w)) for w in words])
+
+    def _hold(self, known: dict, words: Sequence, ids: Sequence[bytes]) -> None:
+        known.update(zip(words, ids, strict=True))
+        self.held += 200 * len(words) + sum(map(len, words)) + sum(map(len, ids))
+
+
+#: A worker process goes on with what its earlier tasks have learned.
+_ENCODERS: dict[str, Encoder] = {}
+
 
-    def _hold(self, known: dict, found: Iterable[tuple]) -> None:
-        for word, ids in found:
-            known[word] = ids
-            self.held += 200 + len(word) + len(ids)
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def differencing(sizes: Sequence[int], k: int) -> list[list[int]]:
@@ -246,7 +254,7 @@ def pack(
     names = [*keep, "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, number = Encoder(path), Packer(window, piece, block, slack), 0
+        encode, packer, number = encoder(path), Packer(window, piece, block, slack), 0
         end = np.array([END], dtype="<u4").tobytes()
         rows: list[tuple] = []
 

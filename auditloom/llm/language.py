@@ -13,6 +13,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,12 @@ from auditloom.operators.persisting import materialize
 
 #: Most labelled rows read for each language.
 ROWS_PER_LANGUAGE = 1000
+#: Leading bits of the hashes by which a label's texts are counted.
+SAMPLE_BITS = 16
+#: Bytes of sums that a task holds before it sends them on.
+HELD = 32 << 20
+#: Rows whose evidence is fused at a time.
+ROWS = 2000
 GRAM_BITS = 14
 GRAMS = 1 << GRAM_BITS
 #: Trigrams of one text overlap and depend on each other; so many count as one observation.
@@ -42,13 +49,22 @@ def trigrams(text: bytes) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, label: str, per_language: int = ROWS_PER_LANGUAGE) -> DataFrame:
-    """(label, text): at most ``per_language`` rows of each label, chosen by the hash of their text."""
+    """(label, text): at most ``per_language`` texts of each label, those with the smallest hashes.
+
+    The hashes of a label are counted by their leading bits first, and only those up to the range that holds the last
+    one wanted are put in order: one task sees the counts of a label and about ``per_language`` hashes, not its rows.
+    """
     known = docs.filter(F.col(label).isNotNull() & F.col("text").isNotNull()).select(
         F.col(label).alias("label"), "text", F.xxhash64("text").alias("h")
     )
-    first = Window.partitionBy("label").orderBy("h")
-    placed = known.select("label", "h").distinct().withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_language)
+    hashes = materialize(known.select("label", "h").distinct().withColumn("bin", F.shiftright("h", 64 - SAMPLE_BITS)), "label-hashes")
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
+    counts = hashes.groupBy("label", "bin").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(before, F.lit(0)))
     # One row per label; written, so that its size decides whether it is broadcast.
+    ranges = materialize(counts.filter(F.col("before") < per_language).groupBy("label").agg(F.max("bin").alias("last_bin")), "last-ranges")
+    first = Window.partitionBy("label").orderBy("h")
+    near = hashes.join(ranges, "label").filter(F.col("bin") <= F.col("last_bin")).select("label", "h")
+    placed = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= per_language)
     last = materialize(placed.groupBy("label").agg(F.max("h").alias("last")), "last-hashes")
     rows = known.join(last, "label").filter(F.col("h") <= F.col("last"))
     return rows.dropDuplicates(["label", "h"]).select("label", "text")
@@ -92,7 +108,8 @@ def trigram_model(sample: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def text_likelihoods(docs: DataFrame, labels: Sequence[str], model: np.ndarray, keep: Sequence[str]) -> DataFrame:
-    """``keep`` columns, n_trigrams, and the log likelihood of the whole text in every language."""
+    """``keep`` columns, n_trigrams, the log likelihood of the whole text in every language, and its posterior by the
+    text alone (zeros for a text without trigrams)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # GRAMS numbers of four bytes a language
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
@@ -106,38 +123,76 @@ def text_likelihoods(docs: DataFrame, labels: Sequence[str], model: np.ndarray,
                 total = found @ table if found is not None else table[grams].sum(0)
                 counts.append(len(grams))
                 values.append(np.asarray(total, dtype=np.float64) / TRIGRAMS_PER_OBSERVATION)
+            table_of = np.stack(values) if values else np.empty((0, len(labels)))
+            posterior = _softmax(table_of) * (np.array(counts)[:, None] > 0) if values else table_of
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in keep], pa.array(counts, pa.int64()), pa.array(values, pa.list_(pa.float64()))],
-                [*keep, "n_trigrams", "loglik"],
+                [*[batch.column(k) for k in keep], pa.array(counts, pa.int64()), _lists(table_of), _lists(posterior)],
+                [*keep, "n_trigrams", "loglik", "posterior"],
             )
 
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", n_trigrams long, loglik array<double>"
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", n_trigrams long, loglik array<double>, posterior array<double>"
     return docs.select(*keep, "text").mapInArrow(score, schema)
 
 
-def _softmax(values: Column) -> Column:
-    raised = F.transform(values, lambda x: F.exp(x - F.array_max(values)))
-    return F.transform(raised, lambda x: x / F.aggregate(raised, F.lit(0.0), lambda a, b: a + b))
+def _softmax(values: np.ndarray) -> np.ndarray:
+    raised = np.exp(values - values.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
 
 
-def _sums(rows: DataFrame, keys: Sequence[str], n: int, total: str) -> DataFrame:
-    """Posterior mass of every language by key; combined per task before the shuffle."""
-    sums = [F.sum(F.get("posterior", F.lit(i))) for i in range(n)]
-    return rows.groupBy(*keys).agg(F.array(*sums).alias(total))
+def _lists(values: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    n, width = values.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(values.ravel()))
 
 
-def _add(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x + y)
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def _less(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.greatest(x - y, F.lit(0.0)))
+def _sums(rows: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
+    """(kind, key, total): posterior mass of every language by each of ``keys`` and over all rows (kind "").
 
+    One pass for all of them; a task sends a row per key it has seen, and what meets after the shuffle are single numbers.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[str, str], np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            names = list(totals)
+            values = pa.array(np.concatenate([totals[k] for k in names] or [np.empty(0)]), pa.float64())
+            offsets = pa.array(np.arange(len(names) + 1) * n, pa.int32())
+            totals.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in names], pa.string()), pa.array([v for _, v in names], pa.string()), pa.ListArray.from_arrays(offsets, values)],
+                ["kind", "key", "sums"],
+            )
 
-def _share(counts: Column, prior: Column, weight: float = PRIOR_WEIGHT) -> Column:
+        for batch in batches:
+            mass = _matrix(batch.column("posterior"), n)
+            for kind in ("", *keys):
+                column = batch.column(kind).to_pylist() if kind else [""] * batch.num_rows
+                places: dict[str, int] = {}
+                rows_of = np.fromiter((places.setdefault(v, len(places)) for v in column), np.int64, batch.num_rows)
+                found = np.zeros((len(places), n))
+                np.add.at(found, rows_of, mass)
+                for value, place in places.items():
+                    totals[kind, value] = totals.get((kind, value), 0) + found[place]
+            if len(totals) * n * 8 > HELD:
+                yield out()
+        yield out()
+
+    parts = rows.select("posterior", *keys).mapInArrow(add, "kind string, key string, sums array<double>")
+    single = parts.select("kind", "key", F.posexplode("sums").alias("place", "mass"))
+    single = single.groupBy("kind", "key", "place").agg(F.sum("mass").alias("mass"))
+    # A row per language at most.
+    ordered = single.groupBy("kind", "key").agg(F.array_sort(F.collect_list(F.struct("place", "mass"))).alias("all"))
+    return ordered.select("kind", "key", F.transform("all", lambda x: x["mass"]).alias("total"))
+
+
+def _share(counts: np.ndarray, prior: np.ndarray, weight: float = PRIOR_WEIGHT) -> np.ndarray:
     """Shares of ``counts`` smoothed by ``weight`` rows of ``prior``."""
-    total = F.aggregate(counts, F.lit(weight), lambda a, b: a + b)
-    return F.zip_with(counts, prior, lambda c, p: (c + weight * p) / total)
+    return (counts + weight * prior) / (counts.sum(axis=1, keepdims=True) + weight)
 
 
 def host_of(url: Column) -> Column:
@@ -180,58 +235,58 @@ def identify(
         nothing = [F.lit(None).cast("string").alias(c) for c in ("text_language", "language")]
         return rows.select(*keep, *nothing, F.lit(0.0).alias("confidence"), F.lit(False).alias("kept"))
     scored = text_likelihoods(rows, labels, model, [*keep, "__declared", "__host"])
-    flat = F.array_repeat(F.lit(1.0 / n), n)
     host = F.coalesce("__host", F.lit(""))
     base = materialize(
         scored.select(
-            *keep, "n_trigrams", "loglik", F.coalesce("__declared", F.lit("")).alias("__declared"),
+            *keep, "n_trigrams", "loglik", "posterior", F.coalesce("__declared", F.lit("")).alias("__declared"),
             host.alias("__host"), domain_of(host).alias("__domain"), suffix_of(host).alias("__suffix"),
-        ).withColumn("posterior", F.when(F.col("n_trigrams") > 0, _softmax(F.col("loglik"))).otherwise(F.array_repeat(F.lit(0.0), n))),
+        ),
         "likelihoods",
     )
-    zero = F.array_repeat(F.lit(0.0), n)
-    everything = base.agg(F.array(*[F.coalesce(F.sum(F.get("posterior", F.lit(i))), F.lit(0.0)) for i in range(n)]).alias("of_all"))
     # One row per host, domain, suffix and declared language; written, so that both sides of a join
     # are plain shuffles and a frequent key is split.
-    hosts = materialize(_sums(base, ["__host"], n, "of_host"), "hosts")
-    domains = materialize(_sums(base, ["__domain"], n, "of_domain"), "domains")
-    suffixes = materialize(_sums(base, ["__suffix"], n, "of_suffix"), "suffixes")
-    declared = materialize(_sums(base, ["__declared"], n, "of_declared"), "declared")
-    met = (
-        base.join(hosts, "__host").join(domains, "__domain").join(suffixes, "__suffix").join(declared, "__declared")
-        .crossJoin(F.broadcast(everything))
-    )
-    own = F.col("posterior")
-    of_all = _share(_less(F.col("of_all"), own), flat)
-    of_domain = _share(_less(F.col("of_domain"), own), of_all)
-    of_host = _share(_less(F.col("of_host"), own), of_domain)
-    prior = F.when(F.col("__host") == "", of_all).otherwise(of_host)
-
-    def evidence(key: str, sums: str) -> Column:
-        """log P(value | language) up to a constant: the value's share of the language's rows."""
-        shares = F.zip_with(
-            _share(_less(F.col(sums), own), F.col("prior_all"), 1.0), F.col("prior_all"), lambda s, p: F.log(s / p)
-        )
-        return F.when(F.col(key) == "", zero).otherwise(shares)
-
-    fused = met.withColumn("prior_all", of_all).withColumn("prior", prior)
-    fused = fused.withColumn(
-        "fused",
-        _add(
-            _add(F.col("loglik"), F.transform("prior", lambda p: F.log(p))),
-            _add(evidence("__declared", "of_declared"), evidence("__suffix", "of_suffix")),
-        ),
-    ).withColumn("fused", _softmax(F.col("fused")))
-    names = F.array(*map(F.lit, labels))
-    best = F.array_max("fused")
-    known = F.col("n_trigrams") > 0
-    language = F.when(known, F.get(names, F.array_position("fused", best).cast("int") - 1))
-    confidence = F.when(known, best).otherwise(0.0)
-    fine = known & (confidence >= min_confidence)
-    if allowed is not None:
-        fine = fine & language.isin(*allowed)
-    by_text = F.when(known, F.get(names, F.array_position("loglik", F.array_max("loglik")).cast("int") - 1))
-    return fused.select(
-        *keep, by_text.alias("text_language"), language.alias("language"), confidence.alias("confidence"),
-        F.coalesce(fine, F.lit(False)).alias("kept"),
-    )
+    keys = {"__host": "of_host", "__domain": "of_domain", "__suffix": "of_suffix", "__declared": "of_declared"}
+    sums = materialize(_sums(base, list(keys), n), "sums")
+    met = base
+    for key, total in keys.items():
+        met = met.join(sums.filter(F.col("kind") == key).select(F.col("key").alias(key), F.col("total").alias(total)), key)
+    everything = sums.filter(F.col("kind") == "").select(F.col("total").alias("of_all"))  # one row
+    met = met.crossJoin(F.broadcast(everything))
+    names = pa.array(labels, pa.string())
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            loglik, own = (_matrix(batch.column(c), n) for c in ("loglik", "posterior"))
+
+            def others(column: str) -> np.ndarray:
+                """Mass by the key without the row's own."""
+                return np.maximum(_matrix(batch.column(column), n) - own, 0.0)
+
+            def given(key: str) -> np.ndarray:
+                return np.array([bool(v) for v in batch.column(key).to_pylist()])[:, None]
+
+            prior_all = _share(others("of_all"), np.full((1, n), 1.0 / n))
+            of_host = _share(others("of_host"), _share(others("of_domain"), prior_all))
+            total = loglik + np.log(np.where(given("__host"), of_host, prior_all))
+            for key, column in (("__declared", "of_declared"), ("__suffix", "of_suffix")):
+                # log P(value | language) up to a constant: the value's share of the language's rows.
+                total += np.where(given(key), np.log(_share(others(column), prior_all, 1.0) / prior_all), 0.0)
+            fused = _softmax(total)
+            known = batch.column("n_trigrams").to_numpy() > 0
+            missing = pa.array(~known)
+            by_text, language = (
+                pa.compute.if_else(missing, pa.scalar(None, pa.string()), names.take(pa.array(table.argmax(axis=1)))) for table in (loglik, fused)
+            )
+            confidence = np.where(known, fused.max(axis=1), 0.0)
+            fine = known & (confidence >= min_confidence)
+            if allowed is not None:
+                fine &= np.isin(np.array(labels)[fused.argmax(axis=1)], list(allowed))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in keep], by_text, language, pa.array(confidence), pa.array(fine)],
+                [*keep, "text_language", "language", "confidence", "kept"],
+            )
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keep) + ", text_language string, language string, confidence double, kept boolean"
+    used = [*keep, "n_trigrams", "loglik", "posterior", *[k for k in keys if k not in keep], *keys.values(), "of_all"]
+    return met.select(*used).mapInArrow(fuse, schema)

@@ -54,3 +54,36 @@ def test_a_shared_id_links_nothing(spark):
     found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component_id", "kept").collect()
     assert Counter(map(tuple, found)) == Counter([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)])
     assert brute(rows, 5, 80) == Counter([(1, 1), (1, 1), (2, 1), (3, 1)])
+
+
+def test_toxicity_reads_one_text_of_a_repeated_id(spark):
+    """9,000 rows of one id are one row of training, and the order of the table doesn't matter."""
+    from pyspark.sql import functions as F
+
+    from auditloom.llm import toxicity
+
+    docs = [(1, f"a stupid text {i % 50}") for i in range(9000)] + [(i, f"a nice text about {i} birds") for i in range(2, 40)] + [
+        (i, f"you stupid idiot {i}") for i in range(40, 60)
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i == 1 or i >= 40)) for i in range(1, 60)] + [(1, 1)], "doc_id long, toxic int")
+    rows = toxicity.training_rows(frame, labels, F.lit(True)).collect()
+    assert len(rows) == 59 and len({r["doc_id"] for r in rows}) == 59
+    models = [toxicity.learn(frame.repartition(n), labels.repartition(n), F.lit(True)) for n in (1, 7)]
+    assert (models[0].weights == models[1].weights).all() and models[0].bias == models[1].bias
+
+
+def test_toxicity_ignores_held_out_labels(spark):
+    """Labels of held-out rows turned round change no score."""
+    from pyspark.sql import functions as F
+
+    from auditloom.llm import toxicity
+    from auditloom.llm.common import crc32_mod
+
+    docs = spark.createDataFrame([(i, f"you stupid idiot {i}" if i % 3 == 0 else f"a bird sat on the mat {i}") for i in range(90)], "doc_id long, text string")
+    held = crc32_mod("doc_id", 4) == 2
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    turned = labels.withColumn("toxic", F.when(held, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert turned.subtract(labels).count() > 5
+    scores = [sorted(map(tuple, toxicity.score(docs, toxicity.learn(docs, rows, ~held)).collect())) for rows in (labels, turned)]
+    assert scores[0] == scores[1]

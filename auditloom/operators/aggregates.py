@@ -118,3 +118,61 @@ def keep_and_count(df: DataFrame, keep: Column, *more: Column) -> DataFrame:
     return df.agg(
         F.count(F.lit(1)).alias("rows_read"), count_where(keep).alias("rows_kept"), *more
     ).withColumn("rows_dropped", F.col("rows_read") - F.col("rows_kept"))
+
+
+# --- distinct counts and quantiles that can be stored and merged --------------------------------
+
+def distinct_bitmaps(df: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
+    """(*by, bucket, bits): which whole numbers occur, 32,768 to a bitmap of 4 KB.
+
+    A task sends one bitmap per group and range of numbers, however many rows it has. Good for few groups with very many
+    values; for many groups with few values each, sets are smaller.
+    """
+    number = value.cast("bigint")
+    return df.filter(number.isNotNull()).groupBy(*by, F.bitmap_bucket_number(number).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bits")
+    )
+
+
+def count_bitmaps(bitmaps: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """(*by, name): exact distinct counts of coarser groups, from stored bitmaps."""
+    united = bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    return united.groupBy(*by).agg(F.sum(F.bitmap_count("bits")).alias(name))
+
+
+def distinct_counts(df: DataFrame, by: Sequence[str], columns: dict[str, Column]) -> DataFrame:
+    """(*by, a column per name): exact distinct counts of whole-number columns, one pruned pass for each.
+
+    Counting them in one aggregation would multiply every row by their number.
+    """
+    parts = [df.select(*by).distinct().select(*by, F.lit(-1).alias("_which"), F.lit(0).cast("bigint").alias("_n"))]
+    for i, value in enumerate(columns.values()):
+        parts.append(count_bitmaps(distinct_bitmaps(df, by, value), by, "_n").select(*by, F.lit(i).alias("_which"), "_n"))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    counts = [F.sum(F.when(F.col("_which") == i, F.col("_n")).otherwise(0)).alias(name) for i, name in enumerate(columns)]
+    return rows.groupBy(*by).agg(*counts)
+
+
+#: Size of a quantile sketch; ranks are off by 1 % or so at this size.
+SKETCH_SIZE = 400
+
+
+def quantile_sketches(df: DataFrame, by: Sequence[str], value: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """(*by, sketch): KLL sketches of a whole-number column, a few KB each, to be stored and merged."""
+    known = df.filter(F.col(value).isNotNull())
+    return known.groupBy(*by).agg(F.kll_sketch_agg_bigint(F.col(value).cast("bigint"), F.lit(size)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, by: Sequence[str], size: int = SKETCH_SIZE) -> DataFrame:
+    """Sketches of coarser groups, without another look at the rows; ``by`` may be empty."""
+    return sketches.groupBy(*by).agg(F.kll_merge_agg_bigint("sketch", F.lit(size)).alias("sketch"))
+
+
+def sketch_quantile(sketch: str, share: float) -> Column:
+    return F.kll_sketch_get_quantile_bigint(F.col(sketch), F.lit(share))
+
+
+def sketch_rows(sketch: str) -> Column:
+    return F.kll_sketch_get_n_bigint(F.col(sketch))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.operators.lookup import lookup
-from auditloom.operators.persisting import materialize
+from auditloom.operators.persisting import materialize, materialize_counted
 
 
 def graph_stats(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         ends.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "stars"
     )
     while not _only_stars(current):
-        current = materialize(_small_star(_large_star(current)), "stars")
+        current = materialize(_small_star(materialize(_large_star(current), "large-stars")), "stars")
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
@@ -88,8 +88,8 @@ def communities(
     large nodes early; each later sweep starts again from single nodes, moves them to rest, contracts,
     moves the communities to rest, and so on. It ends when a sweep moves nothing: neither a node
     nor a whole community gains by moving. Every round raises the modularity of whole-number weights
-    strictly, so the loop ends by itself; there is no limit on rounds or levels. The result does not
-    depend on partitioning. A community is named by its smallest node.
+    strictly, so the loop ends by itself; there is no limit on rounds or levels. Communities that are not connected
+    are parted at the end. The result does not depend on partitioning. A community is named by its smallest node.
     """
     weighted = edges.groupBy(F.col(a).alias("x"), F.col(b).alias("y")).agg(F.sum(weight).cast("bigint").alias("w"))
     weighted = materialize(weighted.filter(F.col("x") != F.col("y")), "weighted")
@@ -109,7 +109,8 @@ def communities(
     member = base.select("node", F.col("node").alias("comm"))
     first = True
     while True:
-        settled, changed = _local_moving(base.join(member, "node"), base_links, once=first)
+        start = materialize(base.join(member, "node").select("node", "comm", "k", "two_m"), "moving")
+        settled, changed = _local_moving(start, base_links, once=first)
         member = settled.select("node", "comm")
         nodes, links, moved = settled, base_links, changed
         while moved:
@@ -121,7 +122,7 @@ def communities(
                     member.join(step, "comm").select("node", F.col("next").alias("comm")), "member"
                 )
         if not changed:
-            return _name_communities(base, base_links, member)
+            return _name_communities(base, base_links, _connected_parts(base_links, member))
         first = False
 
 
@@ -145,23 +146,40 @@ def _contracted(nodes: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFram
 def _local_moving(nodes: DataFrame, links: DataFrame, once: bool) -> tuple[DataFrame, bool]:
     """Rounds of moves until none gains, or a single round; and whether anything moved.
 
-    nodes: (node, comm, k, two_m). links: (src, dst, w) with k and two_m of src, both directions.
+    nodes: (node, comm, k, two_m), written. links: (src, dst, w) with k and two_m of src, both directions.
+    After a round only the nodes that it can have changed the mind of are looked at again (``_unsettled``); the others
+    would answer as before, so the rounds are the same as over all nodes and an empty one means rest.
     """
     outside = links.filter(F.col("src") != F.col("dst"))
-    nodes = materialize(nodes.select("node", "comm", "k", "two_m"), "moving")
+    active: DataFrame | None = None
     changed = False
     while True:
-        wanted = materialize(_wanted(nodes, outside), "wanted")
-        if wanted.isEmpty():
+        wanted, n_wanted = materialize_counted(_wanted(nodes, outside, active), "wanted")
+        if not n_wanted:
             return nodes, changed
-        moves = _accepted(wanted).select("node", F.col("to").alias("_to"))
+        moves = materialize(_accepted(wanted), "moves")
+        to = moves.select("node", F.col("to").alias("_to"))
         nodes = materialize(
-            nodes.join(moves, "node", "left").select("node", F.coalesce("_to", "comm").alias("comm"), "k", "two_m"),
+            nodes.join(to, "node", "left").select("node", F.coalesce("_to", "comm").alias("comm"), "k", "two_m"),
             "moving",
         )
         changed = True
         if once:
             return nodes, changed
+        active = materialize(_unsettled(nodes, outside, wanted, moves), "unsettled")
+
+
+def _unsettled(nodes: DataFrame, outside: DataFrame, wanted: DataFrame, moves: DataFrame) -> DataFrame:
+    """(node): who may gain after the ``moves``.
+
+    What a node gains depends on its own community and those of its neighbours: on their members next to the node and on
+    their strength. A move changes two communities. So only their members, the neighbours of these, and nodes that
+    wanted to move and had to wait can answer otherwise than before.
+    """
+    touched = moves.select(F.explode(F.array("from", "to")).alias("comm")).distinct()
+    inside = nodes.join(touched, "comm", "left_semi").select("node")
+    beside = outside.join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node"))
+    return inside.unionByName(beside).unionByName(wanted.select("node")).distinct()
 
 
 def _wide(column: str) -> Column:
@@ -169,14 +187,17 @@ def _wide(column: str) -> Column:
     return F.col(column).cast("decimal(19,0)")
 
 
-def _wanted(nodes: DataFrame, outside: DataFrame) -> DataFrame:
-    """(node, k, from, to, gain): the best move of each node that gains by moving.
+def _wanted(nodes: DataFrame, outside: DataFrame, active: DataFrame | None = None) -> DataFrame:
+    """(node, k, from, to, gain): the best move of each (active) node that gains by moving.
 
     A node's own community comes in as a row of weight 0, so all that a node needs is in rows
     keyed by the node, and they are combined before the shuffle however many neighbours it has.
     """
     totals = nodes.groupBy("comm").agg(F.sum("k").alias("tot")).withColumnRenamed("comm", "to")
     of_dst = nodes.select(F.col("node").alias("dst"), F.col("comm").alias("to"))
+    if active is not None:
+        outside = outside.join(active.withColumnRenamed("node", "src"), "src", "left_semi")
+        nodes = nodes.join(active, "node", "left_semi")
     near = outside.join(of_dst, "dst").select("src", "to", "w", "k", "two_m", F.lit(False).alias("own"))
     own = nodes.select(
         F.col("node").alias("src"), F.col("comm").alias("to"), F.lit(0).cast("bigint").alias("w"), "k", "two_m",
@@ -235,6 +256,34 @@ def _accepted(wanted: DataFrame) -> DataFrame:
     return met.filter(leading | (2 * F.col("gain") > _wide("k") * crowd))
 
 
+def _connected_parts(links: DataFrame, member: DataFrame) -> DataFrame:
+    """(node, comm) with every community cut into its connected parts.
+
+    Moves can leave a community whose parts no longer touch. Parting them loses no inner edge and lowers the expected
+    share, so it raises the modularity. A part is named by its smallest node.
+    """
+    of_src = member.select(F.col("node").alias("src"), F.col("comm").alias("c_src"))
+    of_dst = member.select(F.col("node").alias("dst"), F.col("comm").alias("c_dst"))
+    inner = links.filter(F.col("src") < F.col("dst")).select("src", "dst").join(of_src, "src").join(of_dst, "dst")
+    inner = materialize(inner.filter(F.col("c_src") == F.col("c_dst")).select("src", "dst"), "inner")
+    parts = connected_components(inner, "src", "dst").select("node", F.col("component").alias("part"))
+    return materialize(
+        member.join(parts, "node", "left").select("node", F.coalesce("part", "node").alias("comm")), "parted"
+    )
+
+
+def all_connected(edges: DataFrame, labels: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """One row: whether every community of ``labels`` (node, community) is connected by its own edges."""
+    of_a = labels.select(F.col("node").alias("_a"), F.col("community").alias("_c"))
+    of_b = labels.select(F.col("node").alias("_b"), F.col("community").alias("_d"))
+    ends = edges.select(F.col(a).alias("_a"), F.col(b).alias("_b"))
+    inner = materialize(ends.join(of_a, "_a").join(of_b, "_b").filter(F.col("_c") == F.col("_d")).select("_a", "_b"), "inner")
+    parts = connected_components(inner, "_a", "_b").select("node", F.col("component").alias("part"))
+    placed = labels.select("node", "community").join(parts, "node", "left")
+    n = placed.groupBy("community").agg(F.count_distinct(F.coalesce("part", "node")).alias("n"))
+    return n.agg(F.coalesce(F.max("n") <= 1, F.lit(True)).alias("all_connected"))
+
+
 def _name_communities(base: DataFrame, links: DataFrame, member: DataFrame) -> DataFrame:
     """Final labels; a component whose split scores below no split at all stays whole."""
     names = member.groupBy("comm").agg(F.min("node").alias("community"))

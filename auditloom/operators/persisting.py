@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -43,3 +44,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = write_scratch(df, name)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``materialize``, and the number of rows, counted while they are written."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    path = write_scratch(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]

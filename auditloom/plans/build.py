@@ -39,15 +39,18 @@ def build_warehouse(
     Every table is replaced at once after it has been written, so a build that fails leaves each table whole, as it
     was or as it is now. The checks that look at one row at a time are counted while their table is written, with
     the day of ``loaded_at`` as today. A folder of dated record files is read from its newest snapshot on. Lines and
-    pages that can't be read go to quarantine tables and are counted in the audit; ``strict`` raises instead.
+    pages that can't be read go to quarantine tables and are counted in the audit; ``strict`` raises instead. Records
+    and their children are laid out by record, so that folding the children and joining them exchanges nothing.
     """
     tables = Warehouse(loaded_at.date())
     checks = quality.standard_checks(tables.as_of)
 
-    def keep(layer: str, name: str, df: DataFrame) -> DataFrame:
+    def keep(layer: str, name: str, df: DataFrame, by: str | None = None) -> DataFrame:
         measures = quality.written_measures(checks, name)
         tables.observed[name] = {}
-        tables[name] = publish(df, root, layer, name, comments=v.COLUMN_COMMENTS, measures=measures, measured=tables.observed[name])
+        tables[name] = publish(
+            df, root, layer, name, comments=v.COLUMN_COMMENTS, measures=measures, measured=tables.observed[name], bucket_key=by
+        )
         return tables[name]
 
     lines = keep("landing", "records_landed", land_records(spark, newest_files(spark, records_csv), strict))
@@ -57,12 +60,12 @@ def build_warehouse(
     keep("landing", "unmapped_columns", unmapped_report(lines))
     raw, landed = records_of(lines), works_of(landed_rows)
 
-    records = keep("staging", "records", staging.stage_records(raw, loaded_at))
-    reasons = keep("staging", "record_reasons", staging.record_reasons(records))
-    countries = keep("staging", "record_countries", staging.record_countries(records))
-    subjects = keep("staging", "record_subjects", staging.record_subjects(records))
-    authors = keep("staging", "record_authors", staging.record_authors(records))
-    institutions = keep("staging", "record_institutions", staging.record_institutions(records))
+    records = keep("staging", "records", staging.stage_records(raw, loaded_at), "record_id")
+    reasons = keep("staging", "record_reasons", staging.record_reasons(records), "record_id")
+    countries = keep("staging", "record_countries", staging.record_countries(records), "record_id")
+    subjects = keep("staging", "record_subjects", staging.record_subjects(records), "record_id")
+    authors = keep("staging", "record_authors", staging.record_authors(records), "record_id")
+    institutions = keep("staging", "record_institutions", staging.record_institutions(records), "record_id")
     works = keep("staging", "works", staging.stage_works(landed, loaded_at))
     authorships = keep("staging", "work_authorships", staging.work_authorships(landed))
     keep("staging", "work_author_institutions", staging.work_author_institutions(landed))

@@ -152,6 +152,11 @@ def cluster_members(table: DataFrame, cluster_id: object, limit: int = 50) -> Da
     )
 
 
+def cluster_validation(table: DataFrame) -> DataFrame:
+    """The scores of clusters, the best first."""
+    return table.orderBy(F.desc_nulls_last("auc"), F.asc("score_name"))
+
+
 def latency_by_year(table: DataFrame, first_year: int = 2005, last_year: int = 2025) -> DataFrame:
     years: Column = F.col("median_latency_days") / F.lit(365.25)
     return table.filter(

@@ -14,11 +14,13 @@ nothing is gathered to build them.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
 import functools
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -26,7 +28,8 @@ from auditloom.functions import year_of
 from auditloom.operators.generators import explode_positions
 from auditloom.operators.persisting import write_scratch
 from auditloom.plans import enriched as models
-from auditloom.plans import events, marts, network, staging
+from auditloom.operators.pairs import count_pairs_by_edges
+from auditloom.plans import events, marts, network, quality, staging
 from auditloom.sources.works_json import work_schema
 
 LOADED_AT = dt.datetime(2026, 1, 1)
@@ -46,15 +49,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_schema(spark, path)).parquet(path)
 
 
-_WRITTEN: dict[tuple, tuple[str, StructType]] = {}
+_WRITTEN: dict[tuple, tuple[str, StructType, dict[str, int]]] = {}
+CHECKS = quality.standard_checks(AS_OF)
 
 
 def _version(spark: SparkSession, sf_dir: str) -> tuple:
-    """Names, sizes and times of the files of the retail tables."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(sf_dir)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
-    return tuple((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files)
+    """Paths, sizes and times of the files of the retail tables, without their content."""
+    files = spark.read.format("binaryFile").load(f"{sf_dir}/*").select("path", "length", "modificationTime")
+    return tuple(sorted(tuple(r) for r in files.collect()))  # a row per file, which the driver lists anyway
+
+
+_HELD: dict[str, tuple | None] = {}
+
+
+@contextlib.contextmanager
+def one_version(spark: SparkSession, sf_dir: str) -> Iterator[Callable[[], tuple]]:
+    """The version of the retail tables, looked up once, if at all, for all that happens inside."""
+    outer = sf_dir not in _HELD
+    if outer:
+        _HELD[sf_dir] = None
+
+    def version() -> tuple:
+        if _HELD[sf_dir] is None:
+            _HELD[sf_dir] = _version(spark, sf_dir)
+        return _HELD[sf_dir]
+
+    try:
+        yield version
+    finally:
+        if outer:
+            del _HELD[sf_dir]
 
 
 def stored(
@@ -62,16 +86,31 @@ def stored(
 ) -> DataFrame:
     """A warehouse table: written by its first reader in a session, read by all others.
 
-    It is rebuilt when a file of the retail tables changes.
+    It is rebuilt when a file of the retail tables changes. The checks that look at one row at a time are counted while
+    it is written (``observed``).
     """
-    key = (spark.sparkContext.applicationId, sf_dir, _version(spark, sf_dir), name)
-    if key not in _WRITTEN:
-        df = build(spark, sf_dir)
-        _WRITTEN[key] = (write_scratch(df, name), df.schema)
-    path, schema = _WRITTEN[key]
+    with one_version(spark, sf_dir) as version:
+        key = (spark.sparkContext.applicationId, sf_dir, version(), name)
+        if key not in _WRITTEN:
+            df, measures, counts = build(spark, sf_dir), quality.written_measures(CHECKS, name), {}
+            if measures:
+                seen = Observation(f"{name}-{uuid.uuid4().hex}")
+                path = write_scratch(df.observe(seen, *[m.alias(check) for check, m in measures.items()]), name)
+                counts = seen.get
+            else:
+                path = write_scratch(df, name)
+            _WRITTEN[key] = (path, df.schema, counts)
+        path, schema, _ = _WRITTEN[key]
     return spark.read.schema(schema).parquet(path)
 
 
+def observed(spark: SparkSession, sf_dir: str) -> dict[str, dict[str, int]]:
+    """Counts of checks that were taken while the tables of this session were written, by table and check."""
+    with one_version(spark, sf_dir) as version:
+        own = (spark.sparkContext.applicationId, sf_dir, version())
+    return {key[3]: counts for key, (_, _, counts) in _WRITTEN.items() if key[:3] == own and counts}
+
+
 AUTHORS_OF_ORDER = """
     array_join(transform(
         slice(array(1, 2, 3, 4), 1, cast(o_orderkey % 5 as int)),
@@ -364,3 +403,44 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(
         spark, sf_dir, "records", lambda s, d: staging.stage_records(raw_records(s, d), LOADED_AT)
     )
+
+
+def staged_works(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "works", works)
+
+
+def work_authorships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "work_authorships", lambda s, d: staging.work_authorships(landed_works(s, d)))
+
+
+def work_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "work_citations", lambda s, d: staging.work_citations(landed_works(s, d)))
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(
+        spark, sf_dir, "feature_discriminative_power", lambda s, d: marts.feature_discriminative_power(risk(s, d))
+    )
+
+
+def validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "risk_score_validation", lambda s, d: marts.risk_score_validation(risk(s, d)))
+
+
+def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "risk_tier_performance", lambda s, d: marts.risk_tier_performance(risk(s, d)))
+
+
+def penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "penalty_summary", lambda s, d: events.penalty_summary(study(s, d)))
+
+
+def _build_cluster_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n_pairs = count_pairs_by_edges(
+        authorships(spark, sf_dir), "work_id", "author_id", edges(spark, sf_dir), "n_shared_works"
+    )
+    return network.cluster_validation(cluster_scores(spark, sf_dir), n_pairs)
+
+
+def cluster_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "author_cluster_validation", _build_cluster_validation)

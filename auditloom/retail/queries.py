@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -32,7 +33,12 @@ ORACLES: dict[str, str] = {}
 
 def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def keep(query: Query) -> Query:
-        QUERIES[name] = query
+        @functools.wraps(query)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            with f.one_version(spark, sf):
+                return query(spark, sf)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = o.statement(oracle)
         return query
@@ -304,10 +310,55 @@ def match_rate_by_year(spark, sf):
            count(DISTINCT l_suppkey) AS n_suppliers, count(DISTINCT year(l_shipdate)) AS n_years
     FROM lineitem GROUP BY l_returnflag""")
 def multi_distinct(spark, sf):
-    return f.table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.count_distinct("l_orderkey").alias("n_orders"), F.count_distinct("l_partkey").alias("n_parts"),
-        F.count_distinct("l_suppkey").alias("n_suppliers"), F.count_distinct(F.year("l_shipdate")).alias("n_years"),
-    )
+    return aggregates.distinct_counts(f.table(spark, sf, "lineitem"), ["l_returnflag"], {
+        "n_orders": F.col("l_orderkey"), "n_parts": F.col("l_partkey"), "n_suppliers": F.col("l_suppkey"),
+        "n_years": F.year("l_shipdate"),
+    })
+
+
+@register("distinct_rollup", """
+    SELECT l_returnflag, l_linestatus, count(DISTINCT l_orderkey) AS n_orders FROM lineitem
+    GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
+def distinct_rollup(spark, sf):
+    """Distinct orders at three levels from the bitmaps of the finest one, which are stored."""
+    fine = ["l_returnflag", "l_linestatus"]
+    bitmaps = materialize(aggregates.distinct_bitmaps(f.table(spark, sf, "lineitem"), fine, F.col("l_orderkey")), "bitmaps")
+    levels = []
+    for by in (fine, fine[:1], []):
+        counted = aggregates.count_bitmaps(bitmaps, by, "n_orders")
+        levels.append(counted.select(*[F.col(c) if c in by else F.lit(None).cast("string").alias(c) for c in fine], "n_orders"))
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
+
+
+_RANK_ERROR = 0.02
+
+
+@register("latency_quantiles", """
+    SELECT journal, count(*) AS n, median(retraction_latency_days)::DOUBLE AS exact_median, TRUE AS sketch_is_near
+    FROM enriched WHERE journal IS NOT NULL AND retraction_latency_days IS NOT NULL GROUP BY journal
+    UNION ALL
+    SELECT NULL, count(*), median(retraction_latency_days)::DOUBLE, TRUE
+    FROM enriched WHERE journal IS NOT NULL AND retraction_latency_days IS NOT NULL""")
+def latency_quantiles(spark, sf):
+    """Sketches per journal and year, stored and merged to journals and to all, beside exact medians.
+
+    The sketch's median is near if its rank among all values is off by ``_RANK_ERROR`` at most.
+    """
+    rows = f.enriched(spark, sf).filter(F.col("journal").isNotNull() & F.col("retraction_latency_days").isNotNull()).select(
+        "journal", "retraction_year", F.col("retraction_latency_days").alias("days"))
+    stored = materialize(aggregates.quantile_sketches(rows, ["journal", "retraction_year"], "days"), "sketches")
+    medians = [
+        aggregates.merge_sketches(stored, by).select(*by, aggregates.sketch_quantile("sketch", 0.5).alias("near"), aggregates.sketch_rows("sketch").alias("n"))
+        for by in (["journal"], [])
+    ]
+    exact = [F.median("days").alias("exact_median"), F.avg((F.col("days") < F.col("near")).cast("double")).alias("below"),
+             F.avg((F.col("days") <= F.col("near")).cast("double")).alias("upto")]
+    out = [
+        rows.join(medians[0], "journal").groupBy("journal", "n").agg(*exact),
+        rows.crossJoin(F.broadcast(medians[1])).groupBy(F.lit(None).cast("string").alias("journal"), "n").agg(*exact),
+    ]
+    within = (F.col("below") - _RANK_ERROR <= 0.5) & (F.col("upto") + _RANK_ERROR >= 0.5)
+    return out[0].unionByName(out[1]).select("journal", "n", "exact_median", within.alias("sketch_is_near"))
 
 
 @register("mode_per_key", """
@@ -578,7 +629,7 @@ def communities(spark, sf):
 @register("community_quality", """
     SELECT count(*) AS n_rows, count(DISTINCT node) AS n_nodes, count(DISTINCT component) AS n_components,
            CAST(sum(component) AS BIGINT) AS component_sum, TRUE AS none_crosses, TRUE AS none_below_zero,
-           TRUE AS split_well
+           TRUE AS split_well, TRUE AS all_connected
     FROM part_components
     WHERE component IN (SELECT component FROM part_components GROUP BY component HAVING count(*) >= 3)""")
 def community_quality(spark, sf):
@@ -591,8 +642,10 @@ def community_quality(spark, sf):
     return labels.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("node").alias("n_nodes"),
         F.count_distinct("component").alias("n_components"), F.sum("component").alias("component_sum"),
-    ).crossJoin(F.broadcast(crossing)).crossJoin(F.broadcast(split)).select(
-        "n_rows", "n_nodes", "n_components", "component_sum", (F.col("most") == 1).alias("none_crosses"),
+    ).crossJoin(F.broadcast(crossing)).crossJoin(F.broadcast(split)).crossJoin(
+        F.broadcast(graph.all_connected(_part_edges(spark, sf), labels))
+    ).select(
+        "all_connected", "n_rows", "n_nodes", "n_components", "component_sum", (F.col("most") == 1).alias("none_crosses"),
         (F.col("least") >= -1e-9).alias("none_below_zero"), (F.col("total") >= 0.58).alias("split_well"),
     )
 
@@ -726,18 +779,9 @@ def _check_oracle(chosen: tuple[str, ...] | None) -> str:
 
 def _check_tables(spark: SparkSession, sf: str, wanted: set[str]) -> dict[str, DataFrame]:
     """The tables the chosen checks read."""
-    def landed() -> DataFrame:
-        return f.landed_works(spark, sf)
-
     def children(key: Column, *more: Column) -> DataFrame:
         return f.table(spark, sf, "lineitem").select(key.cast("bigint").alias("record_id"), *more)
 
-    def validation() -> DataFrame:
-        n_pairs = pairs.count_pairs_by_edges(
-            f.authorships(spark, sf), "work_id", "author_id", f.edges(spark, sf), "n_shared_works"
-        )
-        return network.cluster_validation(f.cluster_scores(spark, sf), n_pairs)
-
     makers: dict[str, Callable[[], DataFrame]] = {
         "records": lambda: f.staged(spark, sf),
         # Lines of shifted orders stand for children, so that these checks have something to find.
@@ -747,34 +791,34 @@ def _check_tables(spark: SparkSession, sf: str, wanted: set[str]) -> dict[str, D
         ),
         "record_countries": lambda: children(F.col("l_orderkey") + 1000),
         "record_authors": lambda: children(3 * F.col("l_orderkey"), F.col("l_linenumber").alias("author_position")),
-        "works": lambda: staging.stage_works(landed(), f.LOADED_AT),
-        "work_authorships": lambda: staging.work_authorships(landed()),
-        "work_citations": lambda: staging.work_citations(landed()),
+        "works": lambda: f.staged_works(spark, sf),
+        "work_authorships": lambda: f.work_authorships(spark, sf),
+        "work_citations": lambda: f.work_citations(spark, sf),
         "records_enriched": lambda: f.enriched(spark, sf),
         "journal_profile": lambda: f.profile(spark, sf),
         "journal_risk": lambda: f.risk(spark, sf),
-        "feature_discriminative_power": lambda: marts.feature_discriminative_power(f.risk(spark, sf)),
-        "risk_score_validation": lambda: marts.risk_score_validation(f.risk(spark, sf)),
-        "risk_tier_performance": lambda: marts.risk_tier_performance(f.risk(spark, sf)),
+        "feature_discriminative_power": lambda: f.features(spark, sf),
+        "risk_score_validation": lambda: f.validation(spark, sf),
+        "risk_tier_performance": lambda: f.tiers(spark, sf),
         "country_leaderboard": lambda: f.country_board(spark, sf),
         "retraction_trends": lambda: f.trends(spark, sf),
         "works_enriched": lambda: f.works_enriched(spark, sf),
         "event_study": lambda: f.study(spark, sf),
-        "penalty_summary": lambda: events.penalty_summary(f.study(spark, sf)),
+        "penalty_summary": lambda: f.penalty(spark, sf),
         "author_clusters": lambda: f.cluster_scores(spark, sf),
         # The lower author of an edge as its cluster: right only for the smallest author of a cluster.
         "author_cluster_members": lambda: f.edges(spark, sf).select(
             F.col("author_b").alias("author_id"), F.col("author_a").alias("cluster_id")
         ),
-        "author_cluster_validation": validation,
+        "author_cluster_validation": lambda: f.cluster_validation(spark, sf),
     }
     return {name: make() for name, make in makers.items() if name in wanted}
 
 
 def _run_checks(spark: SparkSession, sf: str, chosen: tuple[str, ...] | None) -> DataFrame:
-    checks = [c for c in quality.standard_checks(f.AS_OF) if chosen is None or c.name in chosen]
-    tables = _check_tables(spark, sf, {t for c in checks for t in c.tables})
-    return quality.run_checks(tables, checks)
+    checks = [c for c in f.CHECKS if chosen is None or c.name in chosen]
+    read = _check_tables(spark, sf, {t for c in checks for t in c.tables})
+    return quality.run_checks(read, checks, f.observed(spark, sf))
 
 
 CHECK_GROUPS = {
@@ -910,6 +954,26 @@ def serving_event_study(spark, sf):
     return serving.event_study(f.study(spark, sf))
 
 
+@register("serving_event_study_by_group", """
+    SELECT group_name, event_time, n_works, mean_citations, counterfactual_citations, citation_gap, citation_gap_pct
+    FROM group_study""")
+def serving_event_study_by_group(spark, sf):
+    return serving.event_study_by_group(events.event_study_by_group(f.panel(spark, sf)))
+
+
+@register("serving_cluster_validation", "SELECT * FROM cluster_validation")
+def serving_cluster_validation(spark, sf):
+    return serving.cluster_validation(f.cluster_validation(spark, sf))
+
+
+@register("exported_report", f"SELECT check_name, violations, status FROM ({_REPORT_SQL})")
+def exported_report(spark, sf):
+    """The report as written to JSON and read again."""
+    path = scratch_path(spark, "report-json")
+    tables.export_json(_report(spark, sf), path)
+    return spark.read.schema("check_name string, violations long, status string").json(path)
+
+
 @register("serving_risk_map", "SELECT journal, n_retractions, paper_mill_share, burst_ratio, risk_score, risk_tier FROM risk")
 def serving_risk_map(spark, sf):
     return serving.risk_map(f.risk(spark, sf))

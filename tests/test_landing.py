@@ -234,3 +234,56 @@ def test_build_of_a_dirty_folder(spark, tmp_path):
         build.build_warehouse(spark, str(records), path, root, NOW, strict=True)
     assert tables.load(spark, root, "staging", "records").count() == 3
     assert built["records"].count() == 3
+
+
+def exchanges_on(df, key):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in plan.splitlines() if "Exchange" in x and key in x]
+
+
+def test_records_are_joined_to_their_children_without_an_exchange(spark, tmp_path):
+    from auditloom.plans import enriched
+
+    path = write_pages(tmp_path, works())
+    root = str(tmp_path / "wh")
+    build.build_warehouse(spark, write_csv(tmp_path, record_lines()), path, root, NOW)
+    names = ("records", "record_reasons", "record_countries", "record_authors", "record_institutions", "record_subjects")
+    saved = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = [tables.load(spark, root, "staging", n) for n in names]
+        joined = enriched.enrich_records(*read)
+        assert exchanges_on(joined, "record_id") == [] and joined.count() == 3
+        plain = enriched.enrich_records(*[spark.createDataFrame(t.collect(), t.schema) for t in read])
+        assert len(exchanges_on(plain, "record_id")) == 6
+        assert sorted(map(str, joined.collect())) == sorted(map(str, plain.collect()))
+        # A session that has not written the tables finds the layout in the log.
+        for name in spark.catalog.listTables():
+            if name.name.startswith("auditloom_"):
+                spark.sql(f"DROP TABLE {name.name}")
+        again = enriched.enrich_records(*[tables.load(spark, root, "staging", n) for n in names])
+        assert exchanges_on(again, "record_id") == [] and again.count() == 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", saved)
+
+
+def test_distinct_counts_multiply_no_rows(spark):
+    from auditloom.operators import aggregates
+    from auditloom.plans import enriched
+
+    df = spark.createDataFrame(
+        [("a", 1, 5), ("a", 1, None), ("a", -70000, 7), ("b", None, None), (None, 32768, 5), (None, 32769, 5)], "k string, x long, y int"
+    )
+    counted = aggregates.distinct_counts(df, ["k"], {"n_x": F.col("x"), "n_y": F.col("y")})
+    assert {r["k"]: (r["n_x"], r["n_y"]) for r in counted.collect()} == {"a": (2, 2), "b": (0, 0), None: (2, 1)}
+    assert "Expand" not in counted._jdf.queryExecution().executedPlan().toString()
+    facts = "record_id long, journal string, subject_code string, retraction_year int, original_paper_year int, first_country string, " \
+            "n_authors long, is_paper_mill boolean, is_peer_review_fraud boolean, is_ai_generated boolean, retraction_latency_days int"
+    records = spark.createDataFrame([(1, "j", "s", 2000, 1999, None, 2, True, False, False, 10), (2, "k", "s", 2001, None, "c", 1, False, False, True, None)], facts)
+    people = spark.createDataFrame([(1, 1, "A"), (1, 2, "A"), (2, 1, "A"), (9, 1, "B")], "record_id long, author_position int, author_name string")
+    activity = enriched.author_activity(people, records)
+    plan = activity._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and sum("Join" in x for x in plan.splitlines()) == 1
+    (row,) = activity.collect()
+    assert (row["n_retractions"], row["n_journals"], row["n_countries"], row["n_paper_mill"], row["n_first_author"], row["n_last_author"]) == (2, 2, 1, 2, 2, 2)
+    assert row["median_latency_days"] == 10.0

@@ -50,7 +50,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _WRITTEN: dict[tuple, tuple[str, StructType, dict[str, int]]] = {}
-CHECKS = quality.standard_checks(AS_OF)
+
+
+def checks() -> tuple[quality.Check, ...]:
+    return quality.standard_checks(AS_OF)
 
 
 def _version(spark: SparkSession, sf_dir: str) -> tuple:
@@ -92,7 +95,7 @@ def stored(
     with one_version(spark, sf_dir) as version:
         key = (spark.sparkContext.applicationId, sf_dir, version(), name)
         if key not in _WRITTEN:
-            df, measures, counts = build(spark, sf_dir), quality.written_measures(CHECKS, name), {}
+            df, measures, counts = build(spark, sf_dir), quality.written_measures(checks(), name), {}
             if measures:
                 seen = Observation(f"{name}-{uuid.uuid4().hex}")
                 path = write_scratch(df.observe(seen, *[m.alias(check) for check, m in measures.items()]), name)

@@ -816,7 +816,7 @@ def _check_tables(spark: SparkSession, sf: str, wanted: set[str]) -> dict[str, D
 
 
 def _run_checks(spark: SparkSession, sf: str, chosen: tuple[str, ...] | None) -> DataFrame:
-    checks = [c for c in f.CHECKS if chosen is None or c.name in chosen]
+    checks = [c for c in f.checks() if chosen is None or c.name in chosen]
     read = _check_tables(spark, sf, {t for c in checks for t in c.tables})
     return quality.run_checks(read, checks, f.observed(spark, sf))
 

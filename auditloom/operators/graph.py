@@ -13,6 +13,10 @@ from auditloom.operators.lookup import lookup
 from auditloom.operators.persisting import materialize, materialize_counted
 
 
+#: When fewer than one node in so many wants to move, the next round looks at part of the nodes only.
+FEW = 50
+
+
 def graph_stats(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """One row: number of edges and of distinct nodes."""
     nodes = edges.select(F.col(a).alias("node")).unionByName(edges.select(F.col(b).alias("node")))
@@ -152,12 +156,14 @@ def _local_moving(nodes: DataFrame, links: DataFrame, once: bool) -> tuple[DataF
     """
     outside = links.filter(F.col("src") != F.col("dst"))
     active: DataFrame | None = None
-    changed = False
+    changed, n_nodes = False, 0 if once else nodes.count()
     while True:
         wanted, n_wanted = materialize_counted(_wanted(nodes, outside, active), "wanted")
         if not n_wanted:
             return nodes, changed
-        moves = materialize(_accepted(wanted), "moves")
+        # Both ways are exact; finding the nodes to look at again costs a round of its own where many want to move.
+        narrow = not once and n_wanted * FEW < n_nodes
+        moves = materialize(_accepted(wanted), "moves") if narrow else _accepted(wanted)
         to = moves.select("node", F.col("to").alias("_to"))
         nodes = materialize(
             nodes.join(to, "node", "left").select("node", F.coalesce("_to", "comm").alias("comm"), "k", "two_m"),
@@ -166,7 +172,7 @@ def _local_moving(nodes: DataFrame, links: DataFrame, once: bool) -> tuple[DataF
         changed = True
         if once:
             return nodes, changed
-        active = materialize(_unsettled(nodes, outside, wanted, moves), "unsettled")
+        active = materialize(_unsettled(nodes, outside, wanted, moves), "unsettled") if narrow else None
 
 
 def _unsettled(nodes: DataFrame, outside: DataFrame, wanted: DataFrame, moves: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ vocabulary, which is fixed and small, and reads the bytes of a whole text at onc
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import lru_cache
 from hashlib import sha256
 from itertools import accumulate, pairwise
 
@@ -39,6 +41,35 @@ class Numbers(dict):
         return number
 
 
+@lru_cache(maxsize=4)
+def _loaded(path: str, changed: int, size: int) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
+def loaded(path: str) -> Tokenizer:
+    """The tokenizer of a file, loaded once by a process that serves many tasks.
+
+    A tokenizer that has encoded leaves the caches of its threads behind when it goes.
+    """
+    facts = os.stat(path)
+    return _loaded(path, facts.st_mtime_ns, facts.st_size)
+
+
+class EncodedWords(dict):
+    """The ids of a word as bytes, encoded when it is first met.
+
+    Words are encoded one by one: batches start threads on cores that the task doesn't have, each with a cache.
+    """
+
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        super().__init__()
+        self.encode = tokenizer.encode
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = array("I", self.encode(word, add_special_tokens=False).ids).tobytes()
+        return ids
+
+
 def special_tokens(path: str) -> list[str]:
     return [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
 
@@ -145,21 +176,20 @@ def _words(sizes: bytes, letters: bytes) -> list[str]:
 
 
 def encode_words(vocabularies: DataFrame, path: str) -> DataFrame:
-    """(block, numbers, lengths, ids); each distinct word is encoded once, in the task that has its part."""
+    """(block, numbers, lengths, ids); each distinct word is encoded once, in the task that has its part.
+
+    A task takes its parts one after the other and holds the words of one.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Tokenizer.from_file(path).encode_batch_fast
-        known: dict[str, bytes] = {}
+        known, last = EncodedWords(loaded(path)), None
         for batch in batches:
             lengths, ids = [], []
-            for sizes, letters in zip(batch.column("sizes").to_pylist(), batch.column("letters").to_pylist(), strict=True):
-                words = _words(sizes, letters)
-                new = [w for w in words if w not in known]
-                for i in range(0, len(new), 2000):
-                    part = new[i : i + 2000]
-                    for word, got in zip(part, encode(part, add_special_tokens=False), strict=True):
-                        known[word] = array("I", got.ids).tobytes()
-                own = [known[w] for w in words]
+            for part, sizes, letters in zip(*(batch.column(c).to_pylist() for c in ("part", "sizes", "letters")), strict=True):
+                if part != last:
+                    known.clear()
+                    last = part
+                own = [known[w] for w in _words(sizes, letters)]
                 lengths.append(_packed(np.fromiter(map(len, own), np.uint32, len(own)) // 4))
                 ids.append(_packed(np.frombuffer(b"".join(own), np.uint32)))
             yield pa.RecordBatch.from_arrays(
@@ -167,7 +197,7 @@ def encode_words(vocabularies: DataFrame, path: str) -> DataFrame:
                 ["block", "numbers", "lengths", "ids"],
             )
 
-    return vocabularies.repartition("part").select("block", "numbers", "sizes", "letters").mapInArrow(
+    return vocabularies.repartition("part").sortWithinPartitions("part").mapInArrow(
         read, "block long, numbers binary, lengths binary, ids binary"
     )
 

@@ -126,6 +126,87 @@ def test_encoding_of_whole_documents(spark):
         assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
 
 
+class Tables:
+    """Stands for the DataFrame of vocabularies and hands out what a task would run."""
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self
+
+    def mapInArrow(self, function, kinds):
+        return function
+
+
+def vocabulary_rows(parts):
+    """Rows of (block, part, numbers, sizes, letters) for (part, words), one batch."""
+    import numpy as np
+    import pyarrow as pa
+
+    packed = [[bpe._packed(np.array(x, np.uint32)) for x in (range(len(w)), list(map(len, w)))] for _, w in parts]
+    letters = [bpe._squeezed("".join(w).encode()) for _, w in parts]
+    columns = [list(range(len(parts))), [p for p, _ in parts], [n for n, _ in packed], [s for _, s in packed], letters]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "part", "numbers", "sizes", "letters"])
+
+
+def test_encoding_loads_the_tokenizer_once_for_many_tasks(monkeypatch, tmp_path):
+    import shutil
+
+    from public_tokenizers import path as vocabulary
+
+    class Loads:
+        paths = []
+
+        @classmethod
+        def from_file(cls, path):
+            cls.paths.append(path)
+            return tokenizer_class.from_file(path)
+
+    tokenizer_class = bpe.Tokenizer
+    monkeypatch.setattr(bpe, "Tokenizer", Loads)
+    own = shutil.copyfile(vocabulary(queries.TOKENIZER), tmp_path / "own.json")
+    for task in range(5):
+        batch = vocabulary_rows([(0, [f" word{task}", "a"]), (0, ["a", "b"])])
+        out = list(bpe.encode_words(Tables(), str(own))(iter([batch])))
+        assert sum(b.num_rows for b in out) == 2
+    assert len(Loads.paths) == 1
+    # A file that was replaced meanwhile is another tokenizer.
+    shutil.copyfile(vocabulary(queries.WORD_TOKENIZER), own)
+    list(bpe.encode_words(Tables(), str(own))(iter([batch])))
+    assert len(Loads.paths) == 2
+
+
+def test_encoding_holds_the_words_of_one_part_at_a_time():
+    import tracemalloc
+
+    from public_tokenizers import path as vocabulary
+
+    path = vocabulary(queries.TOKENIZER)
+    parts = [(p, [f" w{p}x{i}" for i in range(4000)]) for p in range(16)]
+
+    def peak(rows):
+        task = bpe.encode_words(Tables(), path)
+        batches = [vocabulary_rows([row]) for row in rows]
+        list(task(iter(batches[:1])))
+        tracemalloc.start()
+        try:
+            for batch in task(iter(batches)):
+                del batch
+            return tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+
+    assert peak(parts) < 2 * peak(parts[:1])
+
+
+def test_parts_reach_their_task_one_after_the_other(spark):
+    from public_tokenizers import path as vocabulary
+
+    rows = spark.range(400).selectExpr(
+        "id as block", "cast(id % 64 as int) as part", "cast('' as binary) as numbers", "cast('' as binary) as sizes", "cast('' as binary) as letters"
+    )
+    plan = bpe.encode_words(rows, vocabulary(queries.TOKENIZER))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"MapInArrow.*\n.*Sort \[part.*\], false", plan)
+
+
 # class model
 
 

@@ -19,6 +19,7 @@ from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -27,18 +28,14 @@ from tokenizers import Tokenizer
 
 #: Characters of text in a block, unless one document has more.
 BLOCK_CHARS = 10_000_000
+#: Characters of text that are cut into words at a time, unless one document has more.
+SPLIT_CHARS = 500_000
 #: Rows of a block that are decoded at a time.
 SLICE = 500
 #: Fixed values of the byte-level tokenizer: its pattern, and the text it takes as one special token.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-
-
-class Numbers(dict):
-    """Numbers words in the order in which they are first met."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        return number
+LETTER, NUMBER, BLANK, OTHER = range(4)
+SPACE, APOSTROPHE, CONTRACTED = ord(" "), ord("'"), ("s", "t", "re", "ve", "m", "ll", "d")
 
 
 @lru_cache(maxsize=4)
@@ -74,28 +71,93 @@ def special_tokens(path: str) -> list[str]:
     return [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()]
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kind of every code point, by the classes of the pattern; looked up once by a process."""
+    every = "".join(map(chr, range(0x110000)))
+    kinds = np.full(len(every), OTHER, np.uint8)
+    for kind, name in ((LETTER, "L"), (NUMBER, "N"), (BLANK, "White_Space")):
+        for run in regex.finditer(rf"\p{{{name}}}+", every):
+            kinds[slice(*run.span())] = kind
+    return kinds
+
+
+def _starts(points: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Which code points start a word of ``PATTERN``, in stretches of text that begin at ``bounds``.
+
+    Words are runs of one kind, but for three things. The last of some blanks is apart, unless no text follows. A space
+    goes with what follows. A run that is a lone apostrophe takes the letters of its contraction with it.
+    """
+    size = len(points)
+    kinds = _kinds()[points]
+    begins = np.zeros(size + 1, bool)
+    begins[bounds] = begins[size] = True
+    starts = begins.copy()
+    starts[1:size] |= kinds[1:] != kinds[:-1]
+    after = np.flatnonzero((kinds[:-1] == BLANK) & (kinds[1:] != BLANK) & ~begins[1:size]) + 1
+    starts[after - 1] = True
+    starts[after[points[after - 1] == SPACE]] = False
+
+    at = np.flatnonzero((points == APOSTROPHE) & starts[:size] & ~begins[1:])
+    for letters in CONTRACTED:
+        fits = at[at + len(letters) < size]
+        for i, letter in enumerate(letters, 1):
+            fits = fits[(points[fits + i] == ord(letter)) & ~begins[fits + i]]
+        starts[fits + 1] = False
+        starts[fits + 1 + len(letters)] = True
+    return starts[:size]
+
+
 class Splitter:
-    """Cuts texts into the words that the tokenizer encodes one by one; special tokens are words."""
+    """Cuts texts into the words that the tokenizer encodes one by one; special tokens are words.
+
+    A slice of texts is cut as one array of code points and becomes one Arrow array of words, so no word is a Python
+    object and no text is matched against the pattern.
+    """
 
     def __init__(self, special: Sequence[str]) -> None:
-        self.words = regex.compile(PATTERN).findall
         self.special = sorted(special, key=len, reverse=True)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
 
-    def __call__(self, text: str) -> list[str]:
-        if self.apart is None or not any(map(text.__contains__, self.special)):
-            return self.words(text)
-        parts = self.apart(text)
-        return [w for i, part in enumerate(parts) for w in ([part] if i % 2 else self.words(part))]
+    def __call__(self, texts: Sequence[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, one after the other, and the number of words of each text."""
+        stretches, whole = [], []
+        for text in texts:
+            if self.apart is not None and any(map(text.__contains__, self.special)):
+                parts = self.apart(text)
+                whole += [len(stretches) + i for i in range(1, len(parts), 2)]
+                stretches += parts
+            else:
+                stretches.append(text)
+        joined = "".join(texts)
+        sizes = np.fromiter(map(len, stretches), np.int64, len(stretches))
+        ends = np.cumsum(sizes)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        starts = _starts(points, (ends - sizes)[sizes > 0]) if len(points) else np.zeros(0, bool)
+        for i in whole:
+            starts[ends[i] - sizes[i] + 1 : ends[i]] = False
+        firsts = np.flatnonzero(starts)
+        ends_of = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        counts = np.diff(np.searchsorted(firsts, ends_of), prepend=0)
+        data = joined.encode()
+        if len(data) > len(points):
+            wide = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+            firsts = (np.cumsum(wide) - wide)[firsts]
+        offsets = np.append(firsts, len(data)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(firsts), pa.py_buffer(offsets), pa.py_buffer(data)), counts
 
 
 def _blocks(texts: DataFrame, special: Sequence[str], keep: Sequence[str]) -> DataFrame:
     """(block, *keep, codes): every document as the numbers of its words in its block."""
 
-    def close(rows: list, numbers: Numbers) -> pa.RecordBatch:
-        packed = pa.array([_packed(codes) for _, _, codes in rows], pa.binary())
-        kept = [pa.concat_arrays([batch.column(c).slice(i, 1) for batch, i, _ in rows]) for c in keep]
-        return pa.RecordBatch.from_arrays([_name(rows), *kept, packed], ["block", *keep, "codes"])
+    def close(block: int, kept: list[pa.RecordBatch], words: pa.ChunkedArray, counts: np.ndarray) -> pa.RecordBatch:
+        numbers = np.concatenate([np.empty(0, np.uint32), *(c.indices.to_numpy() for c in words.chunks)])
+        ends = np.cumsum(counts)
+        packed = [_packed(numbers[a:b]) for a, b in zip(ends - counts, ends, strict=True)]
+        columns = [pa.concat_arrays([rows.column(c) for rows in kept]) for c in keep]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([block] * len(packed), pa.int64()), *columns, pa.array(packed, pa.binary())], ["block", *keep, "codes"]
+        )
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in texts.select(*keep).schema.fields)
     return texts.select("__row", *keep, "text").mapInArrow(_reader(special, close), f"block long, {kinds}codes binary")
@@ -104,55 +166,71 @@ def _blocks(texts: DataFrame, special: Sequence[str], keep: Sequence[str]) -> Da
 def _vocabularies(texts: DataFrame, special: Sequence[str], parts: int) -> DataFrame:
     """(block, part, numbers, sizes, letters): the distinct words of a block, dealt out by a hash of the word."""
 
-    def close(rows: list, numbers: Numbers) -> pa.RecordBatch:
-        dealt: dict[int, tuple[list[int], list[str]]] = {}
-        for word, number in numbers.items():
-            own = dealt.setdefault(zlib.crc32(word.encode()) % parts, ([], []))
-            own[0].append(number)
-            own[1].append(word)
+    def close(block: int, kept: list[pa.RecordBatch], words: pa.ChunkedArray, counts: np.ndarray) -> pa.RecordBatch:
+        distinct = words.chunk(0).dictionary if words.num_chunks else pa.array([], pa.string())
+        hashes = map(zlib.crc32, distinct.cast(pa.binary()).to_pylist())
+        part = np.fromiter(hashes, np.uint32, len(distinct)) % parts
+        order = np.argsort(part, kind="stable")
+        dealt, firsts = np.unique(part[order], return_index=True)
+        runs = list(pairwise([*firsts.tolist(), len(order)]))
+        sorted_words = distinct.take(pa.array(order))
+        sizes = pc.utf8_length(sorted_words).to_numpy()
+        letters = sorted_words.buffers()[2]
+        at = np.cumsum([0, *pc.binary_length(sorted_words).to_pylist()])
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(_name(rows).to_pylist()[:1] * len(dealt), pa.int64()), pa.array(dealt, pa.int32()),
-                pa.array([_packed(np.array(n, np.uint32)) for n, _ in dealt.values()], pa.binary()),
-                pa.array([_packed(np.fromiter(map(len, w), np.uint32, len(w))) for _, w in dealt.values()], pa.binary()),
-                pa.array([_squeezed("".join(w).encode()) for _, w in dealt.values()], pa.binary()),
+                pa.array([block] * len(dealt), pa.int64()), pa.array(dealt, pa.int32()),
+                pa.array([_packed(order[a:b]) for a, b in runs], pa.binary()),
+                pa.array([_packed(sizes[a:b]) for a, b in runs], pa.binary()),
+                pa.array([_squeezed(letters[int(at[a]) : int(at[b])]) for a, b in runs], pa.binary()),
             ],
             ["block", "part", "numbers", "sizes", "letters"],
         )
 
     kinds = "block long, part int, numbers binary, sizes binary, letters binary"
-    return texts.select("__row", "text").mapInArrow(_reader(special, close, False), kinds)
-
+    return texts.select("__row", "text").mapInArrow(_reader(special, close), kinds)
 
-def _name(rows: list) -> pa.Array:
-    """A block is named by the number of its first row."""
-    batch, i, _ = rows[0]
-    return pa.array([batch.column("__row")[i].as_py()] * len(rows), pa.int64())
 
+def _reader(special: Sequence[str], close: Callable) -> Callable:
+    """Reads rows of (__row, text, ...) in blocks of text and yields what ``close`` makes of each.
 
-def _reader(special: Sequence[str], close: Callable, positions: bool = True) -> Callable:
-    """Reads rows of (__row, text, ...) in blocks of text and yields what ``close`` makes of each."""
+    A block is named by the number of its first row. ``close`` takes the name, the other columns of the rows, their words
+    as Arrow dictionaries, which number the words in the order in which they are first met, and how many each row has.
+    """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, numbers, rows, chars = Splitter(special), Numbers(), [], 0
+        split = Splitter(special)
+        kept, words, counts, chars = [], [], [], 0
+
+        def closed() -> pa.RecordBatch:
+            coded = pa.chunked_array(words, pa.string()).dictionary_encode()
+            return close(kept[0].column("__row")[0].as_py(), kept, coded, np.concatenate(counts))
+
+        def add(rows: pa.RecordBatch, texts: list[str]) -> None:
+            found, n = split(texts)
+            kept.append(rows)
+            words.append(found)
+            counts.append(n)
+
         for batch in batches:
             texts, batch = batch.column("text"), batch.drop_columns(["text"])
+            first, some, size = 0, [], 0
             for i, text in enumerate(texts):
                 text = text.as_py() or ""
-                if rows and chars + len(text) > BLOCK_CHARS:
-                    yield close(rows, numbers)
-                    numbers, rows, chars = Numbers(), [], 0
-                words = split(text)
-                codes = None
-                if positions:
-                    codes = np.fromiter(map(numbers.__getitem__, words), dtype=np.uint32, count=len(words))
-                else:
-                    for word in dict.fromkeys(words):
-                        numbers[word]
-                rows.append((batch, i, codes))
+                full = (kept or some) and chars + len(text) > BLOCK_CHARS
+                if some and (full or size + len(text) > SPLIT_CHARS):
+                    add(batch.slice(first, i - first), some)
+                    first, some, size = i, [], 0
+                if full:
+                    yield closed()
+                    kept, words, counts, chars = [], [], [], 0
+                some.append(text)
+                size += len(text)
                 chars += len(text)
-        if rows:
-            yield close(rows, numbers)
+            if some:
+                add(batch.slice(first), some)
+        if kept:
+            yield closed()
 
     return read
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from auditloom import functions as fn
 from auditloom.functions import text
 from auditloom.functions.dates import DATE_SHAPE
-from auditloom.operators import pairs
+from auditloom.operators import pairs, persisting
 from auditloom.plans import marts
 from auditloom.retail import frames as f
 
@@ -98,3 +98,18 @@ def test_leaderboard_counts_a_record_once_and_reads_countries_once(spark):
     assert (y["n_retractions"], y["n_journals"], y["active_years"], y["n_peer_review_fraud"]) == (2, 2, 2, 1)
     assert (unknown["n_retractions"], unknown["n_ai_generated"], unknown["active_years"]) == (1, 1, 1)
     assert "Expand" not in plan_of(board)
+
+
+def test_tables_are_written_with_code_that_the_jvm_compiles(spark, monkeypatch):
+    before, seen = spark.conf.get(persisting.METHOD_SETTING), []
+    kind = type(spark.range(1).write)
+    write = kind.parquet
+    monkeypatch.setattr(kind, "parquet", lambda self, path: (seen.append(spark.conf.get(persisting.METHOD_SETTING)), write(self, path)))
+    assert persisting.materialize(spark.range(3), "rows").count() == 3
+    assert seen == ["8000"] and spark.conf.get(persisting.METHOD_SETTING) == before
+    spark.conf.set(persisting.METHOD_SETTING, "4000")
+    try:
+        persisting.materialize(spark.range(3), "rows")
+        assert seen[1:] == ["4000"] and spark.conf.get(persisting.METHOD_SETTING) == "4000"
+    finally:
+        spark.conf.set(persisting.METHOD_SETTING, before)
